@@ -12,7 +12,7 @@ import numpy as np
 from .textops import Rolling, mix
 
 #: k: hash of the trigger, e: hash of the phrase, id and t: the document, at: start of its first window, n: windows, l: from there to
-#: the trigger, f: 0 plain, 1 dealt out by phrase because its trigger is frequent, 2 only says that.
+#: the trigger, f: 0 plain, 1 dealt out by phrase because its trigger is frequent, 2 only says that, 3 settled already.
 RECORD = np.dtype([("k", "<u8"), ("e", "<u4"), ("id", "<i8"), ("t", "<u2"), ("at", "<u4"), ("n", "u1"), ("l", "u1"), ("f", "u1")])
 #: Distinct phrases of one trigger in one block of input, and in one bucket, from which it counts as frequent.
 FREQUENT = 24
@@ -75,15 +75,27 @@ def heads(r: np.ndarray, *fields: str) -> np.ndarray:
     return new
 
 
-def deal(r: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered records and their buckets: by trigger, or by phrase where the block holds many phrases of one trigger."""
+def earlier(r: np.ndarray, by_e: np.ndarray, same_document: bool) -> np.ndarray:
+    """Ordered records before which an equal phrase starts."""
+    return ~by_e if same_document else r["id"] > r["id"][np.flatnonzero(by_e)[np.cumsum(by_e) - 1]]
+
+
+def deal(r: np.ndarray, buckets: int, same_document: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered records and their buckets: by trigger, or by phrase where the block holds many phrases of one trigger. What repeats within
+    the block is settled, and spread evenly, so a phrase has few records in its bucket from each block."""
     r = order(r)
     by_k, by_e = heads(r, "k"), heads(r, "k", "e", "l", "n")
     group = np.cumsum(by_k) - 1
     many = np.bincount(group, weights=by_e, minlength=1)[group] > FREQUENT if len(r) else np.zeros(0, bool)
     bucket = (r["k"] >> np.uint64(16)) % np.uint64(buckets)
+    if len(r):
+        gone = earlier(r, by_e, same_document)
+        r["f"][gone] = 3
+        bucket[gone] = mix(r["id"][gone].astype(np.uint64) + r["at"][gone]) % np.uint64(buckets)
+        many &= ~gone
     if many.any():
-        signs = r[by_k & many].copy()
+        signs = r[many]
+        signs = signs[heads(signs, "k")].copy()
         signs["f"], signs["e"], signs["at"], signs["n"], signs["l"], signs["id"], signs["t"] = 2, 0, 0, 0, 0, 0, 0
         r = r.copy()
         r["f"][many] = 1
@@ -95,15 +107,14 @@ def deal(r: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def settle(r: np.ndarray, same_document: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one bucket: (ordered records without signs, removed: an equal phrase starts earlier, open: 1 or 2 if some windows may recur in
     other phrases, 2 where the trigger is frequent). With same_document false only phrases of smaller ids count as earlier."""
-    signs = np.unique(r["k"][r["f"] == 2])
-    r = order(r[r["f"] != 2])
+    signs, gone = np.unique(r["k"][r["f"] == 2]), r[r["f"] == 3]
+    r = order(r[r["f"] < 2])
     if not len(r):
-        return r, np.zeros(0, bool), np.zeros(0, np.int8)
+        return gone, np.ones(len(gone), bool), np.zeros(len(gone), np.int8)
     by_k, by_e = heads(r, "k"), heads(r, "k", "e", "l", "n")
-    at_e = np.flatnonzero(by_e)[np.cumsum(by_e) - 1]
-    removed = ~by_e if same_document else r["id"] > r["id"][at_e]
+    removed = earlier(r, by_e, same_document)
     group = np.cumsum(by_k) - 1
     kinds = np.bincount(group, weights=by_e)[group]
     open_ = np.where((kinds > FREQUENT) | (r["f"] == 1) | np.isin(r["k"], signs), 2, (kinds > 1).astype(np.int8)).astype(np.int8)
     open_[removed] = 0
-    return r, removed, open_
+    return np.concatenate([r, gone]), np.append(removed, np.ones(len(gone), bool)), np.append(open_, np.zeros(len(gone), np.int8))

@@ -46,7 +46,7 @@ def blobs(bucket: np.ndarray, kind: int, r: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def sender(length: int, k: int, by_words: bool, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sender(length: int, k: int, by_words: bool, same_document: bool, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
@@ -58,11 +58,11 @@ def sender(length: int, k: int, by_words: bool, buckets: int) -> Callable[[Itera
                 held.append(r)
                 count += len(r)
                 if count >= BLOCK:
-                    r, bucket = deal(np.concatenate(held), buckets)
+                    r, bucket = deal(np.concatenate(held), buckets, same_document)
                     yield blobs(bucket, 0, r)
                     held, count = [], 0
         if count:
-            r, bucket = deal(np.concatenate(held), buckets)
+            r, bucket = deal(np.concatenate(held), buckets, same_document)
             yield blobs(bucket, 0, r)
 
     return send
@@ -192,7 +192,7 @@ def comparer(compare: Callable[[np.ndarray, np.ndarray], np.ndarray], same_docum
 def repeated(docs: DataFrame, compare: Callable, length: int, k: int, by_words: bool, same_document: bool) -> DataFrame:
     """(id, t, text, spans: array of start, end or null): symbols that some window covers which also starts earlier. docs as from keyed()."""
     buckets = 4 * partitions(docs.sparkSession)
-    sent = docs.mapInArrow(sender(length, k, by_words, buckets), BLOBS)
+    sent = docs.mapInArrow(sender(length, k, by_words, same_document, buckets), BLOBS)
     settled = materialize(sent.groupBy("bucket").applyInArrow(settler(same_document, length), OPEN), "phrases")
     whole = settled.where("kind = 0").select("id", "t", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(length - 1)).alias("end"))
     open_ = settled.where("kind > 0").groupBy("id", "t").agg(F.collect_list(F.struct("kind", "at", "n", "l", "k")).alias("open"))
