@@ -62,6 +62,8 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tu
     """(first row, row after the last, bytes of those rows end to end, their bounds) without copying; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
