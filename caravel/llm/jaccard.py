@@ -27,7 +27,6 @@ BLOCK = 2_000_000
 MEMBER = np.dtype([("token", "<u8"), ("h", "<u8"), ("g", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("f", "u1")])
 #: Distinct sets with one shingle in a block from which its list is dealt out by set.
 MANY = 24
-BINS = 64
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -44,6 +43,22 @@ def _node(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
 
 
+def _bins(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of equal ranges of hashes, about four to a range; 255: that many or more."""
+    bits = min(16, max(4, (len(s) // 4).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _most(x: bytes, y: bytes) -> int:
+    """No two sets with these bins share more; a large number where that cannot be told."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    if (a == 255).any() or (b == 255).any():
+        return 1 << 40
+    if len(a) != len(b):
+        a, b = (v.astype(np.int64).reshape(min(len(a), len(b)), -1).sum(1) for v in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 def _bytes(h: int, g: int) -> bytes:
     return h.to_bytes(8, "big") + g.to_bytes(8, "big")
 
@@ -66,7 +81,7 @@ def _surveyed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, rows = [], 0, []
         for batch, i, s in _sets(batches, n):
-            bins = np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+            bins = _bins(s)
             rows.append((0, batch["id"][i].as_py(), batch["t"][i].as_py(), 0, len(s), _bytes(*_node(s)) if len(s) else None, bins.tobytes() if len(s) else None))
             held.append(s)
             size += len(s)
@@ -224,17 +239,13 @@ def _contents(n: int, mask: np.ndarray):
 
 
 def _similar(percent: int):
-    """Drops pairs whose sets cannot share enough by the sizes of their parts: an upper bound, with 255 as unknown."""
+    """Drops pairs whose sets cannot share enough by the sizes of their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("xbins", "ybins"))
-            n = batch["xn"].to_numpy() + batch["yn"].to_numpy()
-            most = np.minimum(x, y).astype(np.int64).sum(1)
-            ok = ((x == 255) & (y == 255)).any(1) | ((100 + percent) * most >= percent * n)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], names=["a", "b"])
+            total = batch["xn"].to_numpy() + batch["yn"].to_numpy()
+            ok = pa.array([(100 + percent) * _most(x.as_py(), y.as_py()) >= percent * t for x, y, t in zip(batch["xbins"], batch["ybins"], total.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], names=["a", "b"])
 
     return run
 
