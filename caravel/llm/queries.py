@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import doc_id, keyed, table
 from .decontamination import benchmark_hits
 from .jaccard import jaccard_join
+from .language_model import lm_scores
 from .packing import pack
+from .quality_rules import quality
 from .sharding import shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -48,6 +50,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0
+    out = lm_scores(docs).select("id", "t", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return keyed(docs).select("id", "t").join(out, ["id", "t"]).select(doc_id().alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score").withColumn("held_out", held_out)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join(keyed(table(spark, sf_dir, "documents")), 5, 80)
     return out.select(doc_id().alias("doc_id"), "n_shingles", doc_id("component_id").alias("component_id"))
@@ -60,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES: dict[str, str] = {}

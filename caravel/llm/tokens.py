@@ -21,6 +21,11 @@ def default_path() -> str:
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text, without special tokens of its own; null: none."""
+    return [np.array([i for w in ws for i in w], "<u4") for ws in encode_words(texts, path)]
+
+
+def encode_words(texts: list[str | None], path: str) -> list[list[list[int]]]:
+    """The ids of each word of each text."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
@@ -34,10 +39,4 @@ def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
         part = new[a : a + 20_000]
         for w, e in zip(part, _tokenizers[path].encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[w] = e.ids
-    out = []
-    for ws in split:
-        ids: list[int] = []
-        for w in ws:
-            ids += known[w]
-        out.append(np.array(ids, "<u4"))
-    return out
+    return [[known[w] for w in ws] for ws in split]
