@@ -11,6 +11,7 @@ from .common import doc_id, keyed, table
 from .decontamination import benchmark_hits
 from .jaccard import jaccard_join
 from .language_model import lm_scores
+from .licenses import license_scan
 from .packing import pack
 from .quality_rules import quality
 from .sharding import shard
@@ -67,6 +68,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(doc_id().alias("doc_id"), "n_shingles", doc_id("component_id").alias("component_id"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a document's is its source, its language and its id."""
+    return license_scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -77,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import doc_id, keyed
+from .common import NULL_ID, doc_id, keyed
 from .repeats import covered, repeated
 from .textops import spread
 
@@ -87,17 +88,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for out in _cut(iter([batch])):
+            kept = [x.decode("utf-8", "ignore") for x in out["kept"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["t"], out["n_removed"], pa.array(kept, pa.string())], names=["id", "t", "n_removed", "kept_text"])
+
+
+def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_columns: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) per row of df: every byte covered by a string of `length` bytes that also starts earlier goes.
 
     Earlier: in a document with a smaller id, or in the same document. Strings are judged on the input. Null text: empty; null id: smaller
     than all others and null in the result; rows with one id and different texts are different documents in the order of a hash of the
     text; rows that agree in both are one document and get equal results. kept is binary, since a cut may fall inside a character.
-    Other columns are ignored; an empty table gives no rows.
+    Other columns are ignored, unless keep_columns asks for df's rows with (n_removed, kept_text) added, kept_text without characters that
+    are cut in two and null where nothing is removed; an empty table gives no rows.
     """
     if length < 48:
         raise ValueError("length must be at least 48")
     k = max(32, length - 200)
     docs = repeated(keyed(df, id_col, text_col), equal_windows(length), length, k, False, True)
+    if keep_columns:
+        cut = docs.where("spans is not null").select("id", "t", "text", "spans").dropDuplicates(["id", "t"])
+        cut = cut.select("id", "text", "spans", "t").mapInArrow(_cut_text, "id long, t int, n_removed long, kept_text string")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        own = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_t": F.pmod(F.xxhash64(text), F.lit(65536)).cast("int")})
+        cut = cut.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "n_removed", "kept_text")
+        return own.join(cut, ["_id", "_t"], "left").drop("_id", "_t").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     out = docs.select("id", "text", "spans").mapInArrow(_cut, SCHEMA)
     return out.select(doc_id().alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
