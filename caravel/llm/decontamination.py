@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores the candidates.
 
-The n-grams of the test items are counted over all documents. An item's seeds are its n-grams that few documents hold, and at any rate its
-rarest quarter, so an item that was copied everywhere keeps seeds too. A passage of a document with seeds of an item is aligned with
+The n-grams of the test items are counted over all documents. An item's seeds are its n-grams that few documents hold, and at any rate the
+rarest quarter of those that any document holds, so an item that was copied everywhere keeps seeds too. A passage of a document with seeds of an item is aligned with
 the item word by word; the score is the best local alignment over the best possible one, so edited and paraphrased copies are found.
 """
 
@@ -60,7 +60,7 @@ class Items:
         df = np.array([frequency.get(int(g), 0) for g in self.grams], np.int64)
         keep = df <= most
         for k in range(len(self.ids)):
-            own = np.flatnonzero(self.owner == k)
+            own = np.flatnonzero((self.owner == k) & (df > 0))  # those in no document seed nothing
             keep[own[np.argsort(df[own], kind="stable")[: -(-len(own) // 4)]]] = True
         return np.unique(self.grams[keep])
 

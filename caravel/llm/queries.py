@@ -22,7 +22,7 @@ from .toxicity import SCORE, toxicity
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return shard(table(spark, sf_dir, "documents"), 40).select(
+    return shard(table(spark, sf_dir, "documents"), 40, replayable=True).select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

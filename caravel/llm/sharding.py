@@ -12,19 +12,21 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import materialize, partitions
 
 
-def shard(df: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, replayable: bool = False) -> DataFrame:
     """(doc_id, text, bucket, shard, slot) for every row of df, repeated rows too; slot counts from 0 in each shard without gaps.
 
     Nulls stay null and are records like others; a bucket holds about bucket_bytes of text, but at least one row. Other columns are
-    ignored; an empty table gives no rows. Records are told apart by their place in df, so df must be one that can be read again in the
-    same order: files or a checkpoint. A copy with the same id and text is scattered like any other record.
+    ignored; an empty table gives no rows. Records are told apart by their place in df, which must not change when df is
+    read again: replayable says so (files, a checkpoint); else df is first written to the shared folder. A copy with the same id and text is scattered like any other record.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = df.sparkSession
+    if not replayable:
+        df = materialize(df.select(id_col, text_col), "records")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     buckets = max(4 * partitions(spark), math.ceil((total["b"] + 64 * total["n"]) / bucket_bytes))

@@ -259,7 +259,7 @@ def test_lm_scores(spark, docs, empty):
 
 
 def test_license_scan(spark):
-    rows = [(1, "a/b/x.py", "code\nReleased under the MIT License."), (2, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/c/y.py", "code only"), (4, "z/y.py", "nothing"), (5, None, None), (None, "a/q", "")]
+    rows = [(1, "a/b/x.py", "def f(x, y):\n    total = x + y * 3\n    while total > 10:\n        total = total - 4\n    return total\nReleased under the MIT License."), (2, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/c/y.py", "code only"), (4, "z/y.py", "nothing"), (5, None, None), (None, "a/q", "")]
     got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
     assert got[1]["license"] == "MIT" and got[2]["is_license_file"]
     assert (got[3]["license"], got[3]["effective_license"]) == (None, "Apache-2.0") and got[3]["inherited_from"] == "a"
