@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_id, keyed, materialize, partitions
-from .tokens import default_path, encode
+from .tokens import default_path, encode, slices
 
 PIECES = "id long, t int, piece int, start long, length int, ids_crc32 long"
 
@@ -97,7 +97,7 @@ def places(found: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 def tokenizing(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, batch in (x for whole in batches for x in slices(whole)):
             ids, ts = batch["id"].to_pylist(), batch["t"].to_pylist()
             rows = []
             for i, tokens in enumerate(encode(batch["text"].to_pylist(), path)):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _known: dict[str, dict[str, list[int]]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -19,6 +20,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def slices(batch, size: int = 2 << 20):
+    """(first row, part) of a batch, with about so many bytes of text each: lists of words take many times that."""
+    lengths = np.array([x or 0 for x in pc.binary_length(batch["text"]).to_pylist()], np.int64)
+    part = np.cumsum(lengths) // size
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(lengths)) if len(lengths) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(a), batch.slice(int(a), int(b - a))
+
+
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text, without special tokens of its own; null: none."""
     return [np.array([i for w in ws for i in w], "<u4") for ws in encode_words(texts, path)]

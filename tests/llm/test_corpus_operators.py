@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caravel.llm.common import NULL_ID, keyed
 from caravel.llm.decontamination import benchmark_hits, decontaminated
 from caravel.llm.jaccard import divide_skip, jaccard_join
-from caravel.llm.language_model import lm_scores, windows
+from caravel.llm.language_model import LENGTH, lm_scores, windows
 from caravel.llm.licenses import license_scan
 from caravel.llm.packing import pack, patterns
 from caravel.llm.quality_rules import quality, statistics
@@ -250,8 +250,8 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_lm_scores(spark, docs, empty):
-    for n in (0, 1, 31, 32, 33, 47, 48, 49, 200):
-        seen = [p for a, b in windows(n) for p in range(b, min(n, a + 32))]
+    for n in (0, 1, 15, 16, 23, 24, 25, 31, 32, 33, 47, 48, 49, 200):
+        seen = [p for a, b in windows(n) for p in range(b, min(n, a + LENGTH))]
         assert seen == list(range(n)) or n == 0
     got = lm_scores(docs.where("doc_id is null or doc_id <> 1002"), sample=50).collect()
     assert all(r["score"] < 0 and r["base_score"] < 0 and 0 <= r["n_known"] <= r["n_tokens"] for r in got)
