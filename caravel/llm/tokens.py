@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words that a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 _known: dict[str, dict[str, list[int]]] = {}
 _tokenizers: dict[str, object] = {}
 
