@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_id, keyed, materialize, partitions
-from .tokens import default_path, encode, slices
+from .tokens import default_path, encode
 
 PIECES = "id long, t int, piece int, start long, length int, ids_crc32 long"
 
@@ -97,14 +97,15 @@ def places(found: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 def tokenizing(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, batch in (x for whole in batches for x in slices(whole)):
+        for batch in batches:
             ids, ts = batch["id"].to_pylist(), batch["t"].to_pylist()
             rows = []
-            for i, tokens in enumerate(encode(batch["text"].to_pylist(), path)):
-                tokens = np.append(tokens, np.uint32(end)).astype("<u4")
-                for piece, start in enumerate(range(0, len(tokens), capacity)):
-                    own = tokens[start : start + capacity]
-                    rows.append((ids[i], ts[i], piece, start, len(own), zlib.crc32(own.tobytes())))
+            for a, b, flat, bounds in encode(batch["text"], path):
+                for i, lo, hi in zip(range(a, b), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    tokens = np.append(flat[lo:hi], np.uint32(end)).astype("<u4")
+                    for piece, start in enumerate(range(0, len(tokens), capacity)):
+                        own = tokens[start : start + capacity]
+                        rows.append((ids[i], ts[i], piece, start, len(own), zlib.crc32(own.tobytes())))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "t", "piece", "start", "length", "ids_crc32"])
 

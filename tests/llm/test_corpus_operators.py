@@ -1,18 +1,22 @@
 """The corpus operators against brute force on small fixtures with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from caravel.llm.common import NULL_ID, keyed
 from caravel.llm.decontamination import benchmark_hits, decontaminated
 from caravel.llm.jaccard import divide_skip, jaccard_join
-from caravel.llm.language_model import LENGTH, lm_scores, windows
+from caravel.llm.language_model import CLASSES, IDS, LENGTH, Model, forward, initial, lm_scores, score, windows
 from caravel.llm.licenses import license_scan
 from caravel.llm.packing import pack, patterns
 from caravel.llm.quality_rules import quality, statistics
@@ -168,7 +172,8 @@ def test_sharding(docs, empty, rows):
 
 def test_packing(docs, empty, rows):
     got = pack(docs, 128).collect()
-    ids = encode([t for _, t in rows], default_path())
+    own = Tokenizer.from_file(default_path())
+    ids = [own.encode(t or "", add_special_tokens=False).ids for _, t in rows]
     same([(r["doc_id"], r["start"], r["length"]) for r in got], [(d, a, min(128, len(x) + 1 - a)) for (d, _), x in zip(rows, ids, strict=True) for a in range(0, len(x) + 1, 128)])
     for s in {r["sequence_id"] for r in got}:
         at = 0
@@ -180,14 +185,6 @@ def test_packing(docs, empty, rows):
     assert sum(n * len(p) for n, p in patterns({100: 10, 20: 5, 8: 5, 60: 4}, 128)) == 24
 
 
-def test_word_by_word_ids_are_the_tokenizer_s():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(default_path())
-    texts = ["don't you'll <|endoftext|> b́ x y İstanbul ﬁ 12345 !!??\n\n\ttab", " 'S 'LL \x1c\x85 q", ""]
-    assert [x.tolist() for x in encode(texts, default_path())] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-
 def test_statistics(docs, rows):
     want = []
     for d, t in rows:
@@ -249,12 +246,43 @@ def test_decontamination(spark, docs, empty):
     assert benchmark_hits(df, bench.limit(0)).count() == 0
 
 
+def test_token_ids_are_the_tokenizers():
+    rng, own = random.Random(3), Tokenizer.from_file(default_path())
+    letters = "etaoinshrdluETA\u00e9\u00c9\u0141\u017f\u00df"
+    texts = [" ".join("".join(rng.choice(letters + "0123'.,-!") for _ in range(rng.randint(1, 12))) for _ in range(300)) for _ in range(20)]
+    texts += ["It's DON'T we'LL 'sx ''s a\x01b \x1c q\x85z \u0130stanbul \u00d7 \u00f7 <|endoftext|>a <|x \u0391\u03a3 \u65e5\u672c \u00bd\u00b23 e\u0301", "", "\n \t", "x" * 5000, "\u00c0\u00c9" * 300, "ab'" * 300]
+    texts += ["don't you'll <|endoftext|> b\u0301 x\u00a0y \ufb01 12345 !!??\n\n\ttab", " 'S 'LL \x1c\x85 q"]
+    got = [ids[x:y].tolist() for _, _, ids, bounds in encode(pa.array([*texts, None, *texts]), default_path()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got == [*want, [], *want]
+
+
+def test_every_place_is_scored_once_and_sums_to_one():
+    rng = np.random.default_rng(2)
+    model = Model(rng.integers(0, CLASSES, IDS), np.zeros(IDS), initial())
+    ids, edges = rng.integers(0, IDS, 300), np.array([0, 0, 7, 31, 71, 300])
+    got = score(model, ids, edges)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        for p in range(lo, hi):
+            a = max(w for w, b in windows(hi - lo) if b <= p - lo) + lo
+            x = np.array([[CLASSES if j == lo else model.class_of[ids[j - 1]] for j in range(a, p + 1)]])
+            logits = forward(model.weights, x)[0][0, -1] @ model.weights["out"] + model.weights["bias"][0]
+            share = logits[model.class_of[ids[p]]] - np.log(np.exp(logits).sum())
+            assert abs(got[p] - share / np.log(10)) < 1e-4
+
+
 def test_lm_scores(spark, docs, empty):
     for n in (0, 1, 15, 16, 23, 24, 25, 31, 32, 33, 47, 48, 49, 200):
         seen = [p for a, b in windows(n) for p in range(b, min(n, a + LENGTH))]
         assert seen == list(range(n)) or n == 0
     got = lm_scores(docs.where("doc_id is null or doc_id <> 1002"), sample=50).collect()
     assert all(r["score"] < 0 and r["base_score"] < 0 and 0 <= r["n_known"] <= r["n_tokens"] for r in got)
+    train = [r for r in docs.collect() if r["doc_id"] != 1002 and zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 10]
+    tokens = lambda t: [*WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}).encode()), None]
+    count = Counter(w for r in train for w in tokens(r["text"]))
+    total = sum(count.values())
+    base = {(r["doc_id"], r["text"] or ""): (sum(math.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in tokens(r["text"])), len(tokens(r["text"]))) for r in docs.collect() if r["doc_id"] != 1002}
+    assert sorted((NULL_ID if r["id"] is None else r["id"], round(r["base_score"], 4), r["n_tokens"], r["train_tokens"]) for r in got) == sorted((NULL_ID if i is None else i, round(v, 4), n, total) for (i, _), (v, n) in base.items())
     assert lm_scores(empty).count() == 0
 
 
