@@ -109,8 +109,8 @@ class Words:
         at[both] = np.cumsum(size[both]) - size[both]
         return np.concatenate(flat)[spread(at, size)], size
 
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each word) of the words of a chunk."""
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, ids of each word, hashes of the distinct words in order, which of them each word is) of the words of a chunk."""
         if len(self.keys) > REMEMBERED:
             self.clear()
         distinct, index, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -124,7 +124,7 @@ class Words:
             self.keys, self.flat = np.insert(self.keys, i[new], distinct[new]), np.append(self.flat, ids)
             i = np.searchsorted(self.keys, distinct)
         size = self.size[i][inverse]
-        return self.flat[spread(self.at[i][inverse], size)], size
+        return self.flat[spread(self.at[i][inverse], size)], size, distinct, inverse
 
 
 _known: dict[str, Words] = {}
@@ -143,5 +143,5 @@ def encode(texts, path: str):
 
     for a, b, data, bounds in chunks(texts):
         starts, ends, first = words(data, bounds)
-        ids, size = encoder(path).encode(data, starts, ends)
+        ids, size, _, _ = encoder(path).encode(data, starts, ends)
         yield a, b, ids, np.append(0, np.cumsum(size))[first]
