@@ -168,11 +168,13 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     y = labels.where(F.col(label_col).isin(0, 1) & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0))
     y = y.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     share = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = keyed(df, id_col, text_col).where(F.octet_length("text").between(1, max_bytes)).join(y, "id")
-    out: list[tuple[int, bytes, int]] = []
-    for label in (1, 0):
-        part = rows.where(F.col("y") == label).orderBy(F.xxhash64("id"), "t").limit(per_class).select(F.xxhash64("id").alias("h"), F.col("text").cast("binary").alias("b"))
-        out += [(r["h"], bytes(r["b"]), label) for r in part.collect()]
+    rows = keyed(df, id_col, text_col).where(F.octet_length("text").between(1, max_bytes))
+    keys = rows.select("id", "t").join(y, "id").distinct()
+    chosen = [(r["id"], r["t"], label) for label in (1, 0) for r in keys.where(F.col("y") == label).orderBy(F.xxhash64("id"), "t").limit(per_class).collect()]
+    # The texts of the chosen only, at most twice per_class rows, are sent: no text of any other row is.
+    own = F.broadcast(df.sparkSession.createDataFrame(chosen, "id long, t int, y int"))
+    part = rows.join(own, ["id", "t"]).dropDuplicates(["id", "t"]).select(F.xxhash64("id").alias("h"), F.col("text").cast("binary").alias("b"), "y")
+    out = [(r["h"], bytes(r["b"]), r["y"]) for r in part.collect()]
     model = fit([(t, v) for _, t, v in sorted(out)])
     taken = Counter(v for *_, v in out)
     if len(taken) == 2:
