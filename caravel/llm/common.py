@@ -58,13 +58,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, text): the operators' own columns, so that others in the input cannot clash.
 
-    id is the document id (NULL_ID for null), text the text (empty for null) and t sixteen bits of the text's hash. Rows that agree in
+    id is the document id (NULL_ID for null), text the text (empty for null) and t 64 bits of the text's hash. Rows that agree in
     id and text are one document to the operators; rows with one id and different texts are ordered by t.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("t"),
+        F.xxhash64(text).alias("t"),
         text.alias("text"),
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import doc_id, keyed
 from .textops import Rolling, chunks, mix, word_hashes, words
 
-HITS = "id long, t int, item_id long, score double, start_word long, end_word long"
+HITS = "id long, t long, item_id long, score double, start_word long, end_word long"
 MATCH, OTHER, GAP = 1.0, -0.5, -0.5
 #: Bytes of items that are sent to all tasks at once; more items go in blocks.
 ITEM_BYTES = 32 << 20
@@ -173,7 +173,7 @@ def benchmark_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], block: Items = block, seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(batch["id"][i].as_py(), batch["t"][i].as_py(), block.ids[k], *h) for i, w in _documents(batch, "text") for k, h in hits(block, seeds, w, threshold).items()]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["id", "t", "item_id", "score", "start_word", "end_word"])
 
         own = docs.mapInArrow(run, HITS)

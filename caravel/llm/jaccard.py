@@ -74,7 +74,7 @@ def _surveyed(n: int):
 
     def _rows(kind, ids, ts, token, count, node, bins) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(ts, pa.int32()), pa.array(token, pa.int64()), pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(bins, pa.binary())],
+            [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(token, pa.int64()), pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(bins, pa.binary())],
             names=["kind", "id", "t", "token", "n", "node", "bins"],
         )
 
@@ -304,7 +304,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
-    survey = materialize(docs.mapInArrow(_surveyed(n), "kind int, id long, t int, token long, n long, node binary, bins binary"), "survey")
+    survey = materialize(docs.mapInArrow(_surveyed(n), "kind int, id long, t long, token long, n long, node binary, bins binary"), "survey")
     heavy = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_LIMIT).collect()
     token, rank = np.array([r["token"] for r in heavy], np.int64).view(np.uint64), np.arange(len(heavy), 0, -1)
     o = np.argsort(token)

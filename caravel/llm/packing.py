@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import doc_id, keyed, materialize, partitions
 from .tokens import default_path, encode
 
-PIECES = "id long, t int, piece int, start long, length int, ids_crc32 long"
+PIECES = "id long, t long, piece int, start long, length int, ids_crc32 long"
 
 
 def complement(gap: int, count: np.ndarray) -> list[int] | None:
@@ -107,7 +107,7 @@ def tokenizing(path: str, capacity: int, end: int):
                         own = tokens[start : start + capacity]
                         rows.append((ids[i], ts[i], piece, start, len(own), zlib.crc32(own.tobytes())))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "t", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "t", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -13,7 +13,7 @@ from .textops import Rolling, mix
 
 #: k: hash of the trigger, e: hash of the phrase, id and t: the document, at: start of its first window, n: windows, l: from there to
 #: the trigger, f: 0 plain, 1 dealt out by phrase because its trigger is frequent, 2 only says that, 3 settled already.
-RECORD = np.dtype([("k", "<u8"), ("e", "<u4"), ("id", "<i8"), ("t", "<u2"), ("at", "<u4"), ("n", "u1"), ("l", "u1"), ("f", "u1")])
+RECORD = np.dtype([("k", "<u8"), ("e", "<u4"), ("id", "<i8"), ("t", "<i8"), ("at", "<u4"), ("n", "u1"), ("l", "u1"), ("f", "u1")])
 #: Distinct phrases of one trigger in one block of input, and in one bucket, from which it counts as frequent.
 FREQUENT = 24
 

@@ -20,12 +20,12 @@ from .common import materialize, partitions
 from .phrases import RECORD, cut, deal, heads, settle
 from .textops import BYTE_VALUE, Rolling, chunks, mix, spread, word_hashes, words
 
-WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("t", "<u2"), ("at", "<u4")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("t", "<i8"), ("at", "<u4")])
 #: Records that a task holds before it sends them on.
 BLOCK = 400_000
 BLOBS = "bucket int, kind int, blob binary"
-OPEN = "id long, t int, kind int, at long, n int, l int, k long"
-SPANS = "id long, t int, start long, end long"
+OPEN = "id long, t long, kind int, at long, n int, l int, k long"
+SPANS = "id long, t long, start long, end long"
 
 
 def symbols(data: np.ndarray, bounds: np.ndarray, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def settler(same_document: bool, length: int) -> Callable[[pa.Table], pa.Table]:
         keep = removed | (open_ > 0)
         r, kind = r[keep], np.where(removed, 0, open_)[keep]
         return pa.table({
-            "id": pa.array(r["id"], pa.int64()), "t": pa.array(r["t"].astype(np.int32)), "kind": pa.array(kind.astype(np.int32)), "at": pa.array(r["at"].astype(np.int64)),
+            "id": pa.array(r["id"], pa.int64()), "t": pa.array(r["t"], pa.int64()), "kind": pa.array(kind.astype(np.int32)), "at": pa.array(r["at"].astype(np.int64)),
             "n": pa.array(r["n"].astype(np.int32)), "l": pa.array(r["l"].astype(np.int32)), "k": pa.array(r["k"].view(np.int64) if r["k"].flags.c_contiguous else np.ascontiguousarray(r["k"]).view(np.int64)),
         })
 
@@ -147,7 +147,7 @@ def spans(ids: np.ndarray, ts: np.ndarray, at: np.ndarray, length: int) -> pa.Ta
     new = np.append(True, (ids[1:] != ids[:-1]) | (ts[1:] != ts[:-1]) | (at[1:] > at[:-1] + 1)) if len(at) else np.zeros(0, bool)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(at)) - 1 if len(a) else a
-    return pa.table({"id": pa.array(ids[a], pa.int64()), "t": pa.array(ts[a].astype(np.int32)), "start": pa.array(at[a]), "end": pa.array(at[b] + length)})
+    return pa.table({"id": pa.array(ids[a], pa.int64()), "t": pa.array(ts[a], pa.int64()), "start": pa.array(at[a]), "end": pa.array(at[b] + length)})
 
 
 def comparer(compare: Callable[[np.ndarray, np.ndarray], np.ndarray], same_document: bool, length: int, by_words: bool) -> Callable[[pa.Table], pa.Table]:

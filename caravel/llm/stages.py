@@ -17,7 +17,7 @@ KEY = ("_id", "_t")
 
 def _with_key(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_t": F.pmod(F.xxhash64(text), F.lit(65536)).cast("int")})
+    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_t": F.xxhash64(text)})
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,9 +110,9 @@ def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = repeated(keyed(df, id_col, text_col), equal_windows(length), length, k, False, True)
     if keep_columns:
         cut = docs.where("spans is not null").select("id", "t", "text", "spans").dropDuplicates(["id", "t"])
-        cut = cut.select("id", "text", "spans", "t").mapInArrow(_cut_text, "id long, t int, n_removed long, kept_text string")
+        cut = cut.select("id", "text", "spans", "t").mapInArrow(_cut_text, "id long, t long, n_removed long, kept_text string")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        own = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_t": F.pmod(F.xxhash64(text), F.lit(65536)).cast("int")})
+        own = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_t": F.xxhash64(text)})
         cut = cut.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "n_removed", "kept_text")
         return own.join(cut, ["_id", "_t"], "left").drop("_id", "_t").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     out = docs.select("id", "text", "spans").mapInArrow(_cut, SCHEMA)

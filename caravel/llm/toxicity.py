@@ -172,7 +172,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     keys = rows.select("id", "t").join(y, "id").distinct()
     chosen = [(r["id"], r["t"], label) for label in (1, 0) for r in keys.where(F.col("y") == label).orderBy(F.xxhash64("id"), "t").limit(per_class).collect()]
     # The texts of the chosen only, at most twice per_class rows, are sent: no text of any other row is.
-    own = F.broadcast(df.sparkSession.createDataFrame(chosen, "id long, t int, y int"))
+    own = F.broadcast(df.sparkSession.createDataFrame(chosen, "id long, t long, y int"))
     part = rows.join(own, ["id", "t"]).dropDuplicates(["id", "t"]).select(F.xxhash64("id").alias("h"), F.col("text").cast("binary").alias("b"), "y")
     out = [(r["h"], bytes(r["b"]), r["y"]) for r in part.collect()]
     model = fit([(t, v) for _, t, v in sorted(out)])

@@ -21,6 +21,7 @@ from caravel.llm.licenses import license_scan
 from caravel.llm.packing import pack, patterns
 from caravel.llm.quality_rules import quality, statistics
 from caravel.llm.sharding import shard
+from caravel.llm.stages import near_duplicates
 from caravel.llm.substring_dedup import SuffixAutomaton, substring_dedup
 from caravel.llm.suffix_dedup import suffix_array_dedup
 from caravel.llm.tokens import default_path, encode
@@ -293,3 +294,19 @@ def test_license_scan(spark):
     assert (got[3]["license"], got[3]["effective_license"]) == (None, "Apache-2.0") and got[3]["inherited_from"] == "a"
     assert got[4]["effective_license"] is None and got[5]["effective_license"] is None
     assert got[None]["effective_license"] == "Apache-2.0"
+
+
+def test_texts_with_one_id_are_different_documents(spark):
+    """600 texts without an id: with 16 bits of the text's hash about three pairs of them were one document."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(30)) for _ in range(600)]
+    df = spark.createDataFrame([(None, t, "x", "y", len(t)) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    low = {}
+    for t, h in keyed(df).select("text", F.pmod(F.xxhash64("text"), F.lit(65536))).collect():
+        low.setdefault(h, []).append(t)
+    assert any(len(x) > 1 for x in low.values())
+    assert keyed(df).select("id", "t").distinct().count() == len(texts)
+    same([r["text"] for r in near_duplicates(spark, df, "").collect()], texts)
+    a, b = max(low.values(), key=len)[:2]
+    cut = suffix_array_dedup(spark.createDataFrame([(None, a), (-5, a), (-5, b)], "doc_id long, text string"), keep_columns=True)
+    same([(r["doc_id"], r["text"]) for r in cut.where("n_removed > 0").collect()], [(-5, a)])
