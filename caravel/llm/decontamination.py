@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores the candidates.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman alignment scores the candidates.
 
-The n-grams of the test items are counted over all documents. An item's seeds are its n-grams that few documents hold, and at any rate the
-rarest quarter of those that any document holds, so an item that was copied everywhere keeps seeds too. A passage of a document with seeds of an item is aligned with
-the item word by word; the score is the best local alignment over the best possible one, so edited and paraphrased copies are found.
+Every n-gram of an item is a seed, however many documents hold it. A passage around the seeds of an item is as wide as an alignment through
+them can be, and is aligned with the item word by word unless the words that it shares with the item are too few or too far apart to reach
+the threshold; the score is the best local alignment over the best possible one, so edited and paraphrased copies are found. What shares no n
+words in a row with the item is not seen.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Items:
         o = np.argsort(cat[0], kind="stable")
         self.grams, self.owner, self.place = cat[0][o].astype(np.uint64), cat[1][o], cat[2][o]
         self.distinct = np.unique(self.grams)
+        self.size = np.array([len(w) for w in self.words], np.int64)
         self.short = sorted({len(w) for w in self.words if len(w) < n})
 
     def positions(self, w: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,15 +57,6 @@ class Items:
                 at.append(hit), found.append(g[hit])
         return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    def seeds(self, frequency: dict[int, int], most: float) -> np.ndarray:
-        """Sorted distinct seeds."""
-        df = np.array([frequency.get(int(g), 0) for g in self.grams], np.int64)
-        keep = df <= most
-        for k in range(len(self.ids)):
-            own = np.flatnonzero((self.owner == k) & (df > 0))  # those in no document seed nothing
-            keep[own[np.argsort(df[own], kind="stable")[: -(-len(own) // 4)]]] = True
-        return np.unique(self.grams[keep])
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Best local alignment's score and the end of it in passage."""
@@ -82,9 +75,9 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _candidates(items: Items, seeds: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(item, from, to): passages around the seeds of one item that lie together."""
-    at, g = items.positions(w, seeds)
+def _candidates(items: Items, w: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(item, from, to): passages that hold every alignment of threshold or more through a seed of the item; those that meet are one."""
+    at, g = items.positions(w, items.distinct)
     if not len(at):
         return
     lo, hi = np.searchsorted(items.grams, g, side="left"), np.searchsorted(items.grams, g, side="right")
@@ -94,21 +87,27 @@ def _candidates(items: Items, seeds: np.ndarray, w: np.ndarray) -> Iterator[tupl
     owner, begin = items.owner[which], where - items.place[which]
     o = np.lexsort((begin, owner))
     owner, begin = owner[o], begin[o]
-    a = 0
-    for b in range(1, len(o) + 1):
-        size = len(items.words[owner[a]])
-        if b == len(o) or owner[b] != owner[a] or begin[b] > begin[b - 1] + size // 2 + 2:
-            yield int(owner[a]), max(0, int(begin[a]) - size // 4 - 2), min(len(w), int(begin[b - 1]) + size + size // 4 + 2)
-            a = b
+    size = items.size[owner]
+    slack = np.floor((MATCH - threshold) * size / -max(OTHER, GAP)).astype(np.int64)  # no more words are inserted, or the score is too low
+    first, last = np.maximum(0, begin - slack), np.minimum(len(w), begin + size + slack)
+    cuts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (first[1:] > last[:-1])))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(o)).tolist(), strict=True):
+        yield int(owner[a]), int(first[a]), int(last[b - 1])
+
 
+def bound(item: np.ndarray, passage: np.ndarray) -> float:
+    """What no alignment exceeds: the best stretch of the passage, were each word that the item has a match, each other one an edit."""
+    total = np.cumsum(np.where(np.isin(passage, item), MATCH, max(OTHER, GAP)))
+    return float((total - np.minimum.accumulate(np.append(0.0, total[:-1]))).max()) if len(total) else 0.0
 
-def hits(items: Items, seeds: np.ndarray, w: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
+
+def hits(items: Items, w: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
     """The best alignment with each item that reaches the threshold: score, first word, word after the last."""
     found: dict[int, tuple[float, int, int]] = {}
-    for k, a, b in _candidates(items, seeds, w):
+    for k, a, b in _candidates(items, w, threshold):
         item, passage = items.words[k], w[a:b]
         need = threshold * len(item)
-        if np.isin(passage, item).sum() < need:  # no alignment has more matches
+        if bound(item, passage) < need:
             continue
         score, end = align(item, passage)
         if score >= need and score / len(item) > found.get(k, (0.0,))[0]:
@@ -125,19 +124,6 @@ def _documents(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, np.n
             yield i, w[first[i - a] : first[i - a + 1]]
 
 
-def _counting(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(items.distinct), np.int64)
-        for batch in batches:
-            for _, w in _documents(batch, "text"):
-                g = np.unique(items.positions(w, items.distinct)[1])
-                count[np.searchsorted(items.distinct, g)] += 1
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at])], names=["gram", "n"])
-
-    return run
-
-
 def _blocks(items: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[Items]:
     """Items in blocks of a checked size, in the order of their ids."""
     rows = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("b")).distinct().orderBy("i", "b")
@@ -152,27 +138,20 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[
         yield Items(held, n)
 
 
-def _seeded(docs: DataFrame, items: Items, share: float, total: int) -> np.ndarray:
-    counted = docs.mapInArrow(_counting(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return items.seeds({int(items.distinct[r["gram"]]): r["n"] for r in counted}, share * total)
-
-
 def benchmark_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, share: float = 0.001, threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each document with each test item it holds.
 
     score: local alignment (match 1, other word -0.5, gap -0.5) over the item's number of words, threshold or more. Words are compared with
     A-Z lower-cased. Null or empty texts hold nothing; null ids stay null; repeated rows give one row; items with null text are ignored,
-    repeated items count once; empty tables give no rows; other columns are ignored.
+    repeated items count once; empty tables give no rows; other columns are ignored. share has no effect: seeds are not chosen by frequency.
     """
     docs = keyed(df, id_col, text_col)
-    total = docs.count()
     out = None
     for block in _blocks(items, item_col, text_col, n):
-        seeds = _seeded(docs, block, share, total)
 
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block, seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(batch["id"][i].as_py(), batch["t"][i].as_py(), block.ids[k], *h) for i, w in _documents(batch, "text") for k, h in hits(block, seeds, w, threshold).items()]
+                rows = [(batch["id"][i].as_py(), batch["t"][i].as_py(), block.ids[k], *h) for i, w in _documents(batch, "text") for k, h in hits(block, w, threshold).items()]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["id", "t", "item_id", "score", "start_word", "end_word"])
 
@@ -185,16 +164,13 @@ def benchmark_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def decontaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, share: float = 0.001, threshold: float = 0.5) -> DataFrame:
     """The rows of df, all columns, that hold no test item (see benchmark_hits)."""
-    docs, total = keyed(df, id_col, text_col), None
     for block in _blocks(items, item_col, text_col, n):
-        total = docs.count() if total is None else total
-        seeds = _seeded(docs, block, share, total)
 
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block, seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, w in _documents(batch, text_col):
-                    clean[i] = not hits(block, seeds, w, threshold)
+                    clean[i] = not hits(block, w, threshold)
                 yield batch.filter(pa.array(clean))
 
         df = df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, df.withColumn(text_col, F.col(text_col).cast("string")).schema)

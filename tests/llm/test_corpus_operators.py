@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caravel.llm.common import NULL_ID, keyed
-from caravel.llm.decontamination import benchmark_hits, decontaminated
+from caravel.llm.decontamination import Items, align, benchmark_hits, decontaminated, hits
 from caravel.llm.jaccard import divide_skip, jaccard_join
 from caravel.llm.language_model import CLASSES, IDS, LENGTH, Model, forward, initial, lm_scores, score, windows
 from caravel.llm.licenses import license_scan
@@ -310,3 +310,38 @@ def test_texts_with_one_id_are_different_documents(spark):
     a, b = max(low.values(), key=len)[:2]
     cut = suffix_array_dedup(spark.createDataFrame([(None, a), (-5, a), (-5, b)], "doc_id long, text string"), keep_columns=True)
     same([(r["doc_id"], r["text"]) for r in cut.where("n_removed > 0").collect()], [(-5, a)])
+
+
+def test_decontamination_finds_common_passages(spark):
+    """A passage that many documents copied is found beside a full copy, whose own n-grams are the rarest; so is one with words put in."""
+    rng = random.Random(9)
+    prose = lambda n: [f"p{rng.randrange(4000)}" for _ in range(n)]
+    item = [f"i{k}" for k in range(40)]
+    spread = [*item[:20], *prose(30), *item[20:]]
+    texts = [prose(30) + item[:24] + prose(30) for _ in range(6)] + [item, spread, item[:19] + prose(60)] + [prose(60) for _ in range(51)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["start_word"], r["end_word"]) for r in benchmark_hits(df, bench).collect()}
+    assert got == {**dict.fromkeys(range(6), (0.6, 30, 54)), 6: (1.0, 0, 40), 7: (0.625, 0, 70)}
+    same([r["doc_id"] for r in decontaminated(df, bench).collect()], range(8, 60))
+
+
+def test_decontamination_equals_aligning_everything():
+    rng = np.random.default_rng(10)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(2, 30))).encode()) for k in range(30)]
+    items = Items(rows, 3)
+    for _ in range(60):
+        parts = [rng.permutation(items.words[k])[: rng.integers(0, 3)] if rng.random() < 0.2 else items.words[k][rng.random(len(items.words[k])) < 0.9] for k in rng.integers(0, 30, 4)]
+        w = np.concatenate(parts)
+        want = {}
+        for k, item in enumerate(items.words):
+            score = align(item, w)[0] / len(item)
+            grams = {tuple(item[i : i + 3]) for i in range(max(1, len(item) - 2))}
+            if score >= 0.5 and any(tuple(w[i : i + len(x)]) == x for x in grams for i in range(len(w))):
+                want[k] = score
+        got = {k: v[0] for k, v in hits(items, w, 0.5).items()}
+        assert all(want[k] >= v for k, v in got.items())
+        for k in set(want) - set(got):  # only where the best alignment has no three words in a row
+            best, end = align(items.words[k], w)
+            back = align(items.words[k][::-1], w[:end][::-1])[1]
+            assert not any(tuple(w[end - back : end][i : i + 3]) == tuple(items.words[k][j : j + 3]) for i in range(back - 2) for j in range(len(items.words[k]) - 2))
