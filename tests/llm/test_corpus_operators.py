@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from caravel.llm import language_model
 from caravel.llm.common import NULL_ID, keyed
 from caravel.llm.decontamination import Items, align, benchmark_hits, decontaminated, hits
 from caravel.llm.jaccard import divide_skip, jaccard_join
@@ -345,3 +346,18 @@ def test_decontamination_equals_aligning_everything():
             best, end = align(items.words[k], w)
             back = align(items.words[k][::-1], w[:end][::-1])[1]
             assert not any(tuple(w[end - back : end][i : i + 3]) == tuple(items.words[k][j : j + 3]) for i in range(back - 2) for j in range(len(items.words[k]) - 2))
+
+
+def test_lm_scores_give_every_known_word_its_share(spark, monkeypatch):
+    """Blocks of a few documents each, and no list of the most frequent words: a rare word's own count is in the score."""
+    rng = random.Random(12)
+    monkeypatch.setattr(language_model, "COMMON", 5, raising=False)
+    monkeypatch.setattr(language_model, "TOGETHER", 2000, raising=False)
+    rows = [(i, " ".join(f"w{min(rng.randrange(200), rng.randrange(200))}" for _ in range(60))) for i in range(120)] + [(500, None), (501, "nowhere seen w1")]
+    # the weight of the shares is fixed at one, so the score is the sum over the shares themselves
+    monkeypatch.setattr(language_model, "GRID", (1.0,))
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sample=60).collect()
+    assert len(got) == len(rows)
+    assert all(abs(r["score"] - r["base_score"]) < 1e-6 for r in got)
+    train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*(t or "").split(), None])
+    same([(r["id"], r["n_tokens"], r["n_known"]) for r in got], [(i, len((t or "").split()) + 1, sum(train[w] > 0 for w in [*(t or "").split(), None])) for i, t in rows])
