@@ -86,6 +86,31 @@ def _best(words: Column, weights: dict[str, float], unknown: float, vectors: lis
     return F.element_at(F.transform(F.array(words), scored), 1)
 
 
+def _best_whole(words: Column, weights: dict[str, float], unknown: float, vectors: list[tuple[str, dict[str, float]]]) -> Column:
+    """As _best(), for texts of any length: the norm is one pass over the sorted words, a product one over those that templates hold."""
+    known = _map(weights)
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["word"] == x, a["run"]).otherwise(F.lit(0))
+        return F.struct(x.alias("word"), (run + 1).alias("run"), (a["sum"] + (2 * run + 1) * F.pow(F.coalesce(F.try_element_at(known, x), F.lit(unknown)), F.lit(2.0))).alias("sum"))
+
+    def parts(w: Column) -> Column:
+        norm = F.sqrt(F.aggregate(F.sort_array(w), start, step, lambda a: a["sum"]))
+        return F.struct(norm.alias("norm"), F.filter(w, lambda x: F.array_contains(F.array(*[F.lit(k) for k in sorted(weights)]), x)).alias("held"))
+
+    def against(t: Column) -> Column:
+        out = []
+        for name, v in vectors:
+            size = math.sqrt(sum(x * x for x in v.values()))
+            m = _map({k: x * weights[k] / size for k, x in v.items()})
+            dot = F.aggregate(t["held"], F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(m, x), F.lit(0.0)))
+            out.append(F.struct(F.round(F.coalesce(dot / F.when(t["norm"] > 0, t["norm"]), F.lit(0.0)), 6).alias("score"), F.lit(name).alias("license")))
+        return F.array_max(F.array(*out))
+
+    return F.element_at(F.transform(F.transform(F.array(words), parts), against), 1)
+
+
 def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, path, license, score, n_lines, is_license_file, effective_license, inherited_from) per row of files.
 
@@ -111,7 +136,7 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
     best = F.filter(F.transform(lines, lambda x: _best(_tokens(x), weights, unknown, vectors)), lambda x: x["score"] >= threshold)
     empty = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("license"))
-    scanned = rows.select("id", "path", best.alias("found"), F.when(F.col("text").rlike(pattern) & (F.char_length("text") < 4000), _best(_tokens(F.col("text")), weights, unknown, vectors)).otherwise(empty).alias("whole"))
+    scanned = rows.select("id", "path", best.alias("found"), F.when(F.col("text").rlike(pattern), _best_whole(_tokens(F.col("text")), weights, unknown, vectors)).otherwise(empty).alias("whole"))
     top = F.array_max("found")
     is_file = top.isNotNull() & ((F.col("whole.score") >= threshold) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)))
     scanned = scanned.select("id", "path", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))).alias("dir"), top["license"].alias("license"), top["score"].alias("score"), F.size("found").alias("n_lines"), is_file.alias("is_license_file"))

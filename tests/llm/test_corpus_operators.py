@@ -361,3 +361,15 @@ def test_lm_scores_give_every_known_word_its_share(spark, monkeypatch):
     assert all(abs(r["score"] - r["base_score"]) < 1e-6 for r in got)
     train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*(t or "").split(), None])
     same([(r["id"], r["n_tokens"], r["n_known"]) for r in got], [(i, len((t or "").split()) + 1, sum(train[w] > 0 for w in [*(t or "").split(), None])) for i, t in rows])
+
+
+def test_license_scan_compares_long_texts(spark):
+    """Whole texts of over 4,000 characters: a file of repeated notices, and a long template with some words changed."""
+    rng = random.Random(13)
+    body = "\n".join(" ".join(f"term{rng.randrange(300)}" for _ in range(12)) for _ in range(80))
+    rows = [(1, "a/x.txt", "Licensed under the Apache License, Version 2.0.\n" * 120), (2, "a/b/y.py", "code only"), (3, "c/z.txt", body.replace("term7", "other")), (4, "c/w.py", "more code"), (5, "d/v.txt", "Released under the MIT License.\n" + "unlike words here\n" * 400), (6, "d/u.py", "x")]
+    templates = {"Apache-2.0": ("Licensed under the Apache License, Version 2.0.",), "Long-1.0": (body, body.split("\n")[0]), "MIT": ("Released under the MIT License.",)}
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path"), templates=templates).collect()}
+    assert all(len(rows[i][2]) > 4000 for i in (0, 2, 4))
+    assert [got[i]["is_license_file"] for i in range(1, 7)] == [True, False, True, False, False, False]
+    assert [got[i]["effective_license"] for i in (2, 4, 6)] == ["Apache-2.0", "Long-1.0", None]
