@@ -131,6 +131,13 @@ def raw_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("topic", "partition", "offset", "tombstone", F.get_json_object(F.col("value").cast("string"), "$.event_type").alias("kind"))
 
 
+def raw_to_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages; malformed ones have no kind, and their bytes as they came."""
+    out = parsers.raw_to_table(generator.messages(table(spark, sf_dir, "events")))
+    kind = F.get_json_object(F.col("value").cast("string"), "$.event_type")
+    return out.select("topic", "partition", "offset", "tombstone", kind.alias("kind"), F.when(kind.isNull(), F.base64("value")).alias("raw_base64"))
+
+
 def table_union_by_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     parts = {TableId("raw", "events_click"): e.where("event_type = 'click'"), TableId("raw", "events_view"): e.where("event_type = 'view'")}
@@ -199,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_parse_props": json_parse_props,
     "tskv_parse": tskv_parse,
     "raw_to_table": raw_to_table,
+    "raw_to_table_all": raw_to_table_all,
     "max_offset": max_offset,
     "table_union_by_rename": table_union_by_rename,
     "record_time_partition": record_time_partition,
@@ -225,6 +233,7 @@ SELECT user_id, pos, op_class, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY
     "json_parse_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "tskv_parse": 'SELECT event_type AS level, event_id AS "count" FROM events',
     "raw_to_table": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS off FROM events WHERE event_id % 17 <> 0) SELECT 'events' AS topic, user_id % 4 AS partition, off AS "offset", FALSE AS tombstone, event_type AS kind FROM m""",
+    "raw_to_table_all": MSG + """SELECT topic, part AS partition, off AS "offset", FALSE AS tombstone, CASE WHEN event_id % 17 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 17 = 0 THEN to_base64(encode('{broken ' || event_id)) END AS raw_base64 FROM m""",
     "max_offset": "SELECT 'events' AS topic, user_id % 4 AS partition, count(*) AS next_offset FROM events GROUP BY user_id % 4",
     "table_union_by_rename": "SELECT event_id, event_type, 'raw.events' AS \"table\" FROM events WHERE event_type IN ('click', 'view')",
     "record_time_partition": "SELECT strftime(date_trunc('hour', ts), '%Y/%m/%d/%H') AS path, count(*) AS n FROM events GROUP BY 1",

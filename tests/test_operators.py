@@ -1,14 +1,16 @@
+import base64
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from caravel import queries
 from caravel.operators import changelog, splits
 from caravel.operators.filters import filter_eq
 from caravel.operators.identity import Card, TableId, expand, rename, select_tables, union_renamed
 from caravel.plans.semantics import guarantee
 from caravel.plans.sqlgate import SqlRefused, run_sql
-from caravel.sources import parsers
+from caravel.sources import generator, parsers
 from caravel.streaming.delivery import deliver
 
 
@@ -133,3 +135,17 @@ def test_stream_delivers_each_batch_once(spark, tmp_path):
         deliver(stream, out, check, lambda df: df.withColumn("twice", F.col("id") * 2)).awaitTermination()
     got = spark.read.parquet(out)
     assert sorted(r["id"] for r in got.collect()) == list(range(20))
+
+
+def test_raw_to_table_query_runs_over_all_messages(spark):
+    """Malformed ones too, with the offsets that the other parsers see."""
+    events = queries.table(spark, "/root/testdata/sf0.001", "events")
+    got = {(r["partition"], r["offset"]): r for r in queries.QUERIES["raw_to_table_all"](spark, "/root/testdata/sf0.001").collect()}
+    sent = generator.messages(events).collect()
+    assert len(got) == len(sent) == events.count()
+    for r in sent:
+        own = got[r["partition"], r["offset"]]
+        if r["event_id"] % 17 == 0:
+            assert own["kind"] is None and base64.b64decode(own["raw_base64"]) == bytes(r["value"])
+        else:
+            assert own["kind"] is not None and own["raw_base64"] is None
