@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null document id inside the operators: smaller than every other id.
 NULL_ID = -(2**63)
 
+#: Bytes of one Arrow batch between Spark and a Python worker, where the session sets no limit of its own.
+BATCH_BYTES = 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -22,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of its own only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it. Only a session within one JVM may leave it unset: it gets a
+    folder of its own, which no other machine needs to see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="caravel-checkpoints-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,13 +52,29 @@ def _clean() -> None:
             return
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a table that materialize() wrote and nothing reads any more."""
+    own = (df.sparkSession, df._written_to)
+    _remove(*own)
+    _written.remove(own)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes a table in the shared folder and reads it back, so that a lost executor never repeats what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches by bytes, not by rows alone, so that long texts make no large batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,6 +83,7 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     id is the document id (NULL_ID for null), text the text (empty for null) and t 64 bits of the text's hash. Rows that agree in
     id and text are one document to the operators; rows with one id and different texts are ordered by t.
     """
+    bounded(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),

@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, materialize, partitions
-from .textops import chunks, mix, shingles, word_hashes, words
+from .textops import chunks, lean, mix, release, shingles, word_hashes, words
 
 FREQUENT_LIMIT = 65_536
-BLOCK = 2_000_000
+#: Shingles that a task holds before it sends them on.
+BLOCK = 500_000
+#: Sets that a task remembers to have sent, as 8 bytes each: it may send others twice, which grouping them takes back.
+REMEMBERED = 1 << 18
 MEMBER = np.dtype([("token", "<u8"), ("h", "<u8"), ("g", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("f", "u1")])
 #: Distinct sets with one shingle in a block from which its list is dealt out by set.
 MANY = 24
@@ -96,7 +99,7 @@ def _surveyed(n: int):
         if held:
             yield heavy(held)
 
-    return run
+    return lean(run)
 
 
 def _dealt(n: int, percent: int, frequent: np.ndarray, rank: np.ndarray, buckets: int):
@@ -137,13 +140,13 @@ def _dealt(n: int, percent: int, frequent: np.ndarray, rank: np.ndarray, buckets
             m["h"], m["g"] = _node(s)
             held.append(m)
             size += len(m)
-            if size >= BLOCK // 4:
+            if size >= BLOCK // 2:
                 yield flush(held)
                 held, size = [], 0
         if held:
             yield flush(held)
 
-    return run
+    return lean(run)
 
 
 def _shared(group: pa.Table) -> pa.Table:
@@ -189,44 +192,51 @@ def divide_skip(probe: np.ndarray, sets: list[np.ndarray], least: int) -> np.nda
     return np.where(keep & (count >= least), count, 0)
 
 
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a column of sets, without copying, and the bounds of each set."""
+    if pa.types.is_large_binary(column.type):
+        column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint64, int(offsets[-1]) // 8) if data is not None and len(column) else np.zeros(0, np.uint64)), offsets // 8
+
+
 def _search(percent: int):
     """Rows (a, b, sa, sb) to links (a, b); rows with one a that follow each other are one block."""
 
-    def links(a: bytes, sa: bytes, bs: list[bytes], sbs: list[bytes]) -> list[tuple[bytes, bytes]]:
-        probe, sets = np.frombuffer(sa, np.uint64), [np.frombuffer(x, np.uint64) for x in sbs]
-        total = np.array([len(probe) + len(s) for s in sets])
-        count = divide_skip(probe, sets, max(1, int(-(-percent * total.min() // (100 + percent)))))
-        return [(a, b) for b, c, t in zip(bs, count.tolist(), total.tolist(), strict=True) if c and 100 * c >= percent * (t - c)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb = (batch[c].to_pylist() for c in ("a", "b", "sa", "sb"))
-            out, i = [], 0
-            while i < len(a):
+            (va, oa), (vb, ob) = _values(batch["sa"]), _values(batch["sb"])
+            node = batch["a"].to_pylist()
+            found, i = [], 0
+            while i < len(node):
                 j = i + 1
-                while j < len(a) and a[j] == a[i] and j - i < 512:
+                while j < len(node) and node[j] == node[i] and ob[j + 1] - ob[i] <= BLOCK // 4:
                     j += 1
-                out += links(a[i], sa[i], b[i:j], sb[i:j])
+                probe, sets = va[oa[i] : oa[i + 1]], [vb[x:y] for x, y in zip(ob[i:j], ob[i + 1 : j + 1], strict=True)]
+                total = len(probe) + np.diff(ob[i : j + 1])
+                count = divide_skip(probe, sets, max(1, int(-(-percent * total.min() // (100 + percent)))))
+                found.append(i + np.flatnonzero((count > 0) & (100 * count >= percent * (total - count))))
                 i = j
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+            at = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _contents(n: int, mask: np.ndarray):
     """(node, set) of the documents whose node may be asked for: mask is a bit table of a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sets, size, seen = [], [], 0, set()
+        nodes, sets, size, seen = [], [], 0, np.zeros(REMEMBERED, np.uint64)
         for _, _, s in _sets(batches, n):
             if not len(s):
                 continue
             h, g = _node(s)
             bit = g % (len(mask) * 64)
-            if not int(mask[bit >> 6]) >> (bit & 63) & 1 or (h, g) in seen:
+            if not int(mask[bit >> 6]) >> (bit & 63) & 1 or int(seen[h % REMEMBERED]) == h ^ g:
                 continue
-            if len(seen) < 500_000:
-                seen.add((h, g))
+            seen[h % REMEMBERED] = h ^ g
             nodes.append(_bytes(h, g)), sets.append(s.tobytes())
             size += len(s)
             if size >= BLOCK // 2:
@@ -235,7 +245,7 @@ def _contents(n: int, mask: np.ndarray):
         if nodes:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    return run
+    return lean(run)
 
 
 def _similar(percent: int):
@@ -247,7 +257,7 @@ def _similar(percent: int):
             ok = pa.array([(100 + percent) * _most(x.as_py(), y.as_py()) >= percent * t for x, y, t in zip(batch["xbins"], batch["ybins"], total.tolist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:

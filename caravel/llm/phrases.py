@@ -7,13 +7,15 @@ triggers at equal places. Phrases are records; a window can recur only in phrase
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
-from .textops import Rolling, mix
+from .textops import CHUNK, Rolling, mix
 
 #: k: hash of the trigger, e: hash of the phrase, id and t: the document, at: start of its first window, n: windows, l: from there to
 #: the trigger, f: 0 plain, 1 dealt out by phrase because its trigger is frequent, 2 only says that, 3 settled already.
-RECORD = np.dtype([("k", "<u8"), ("e", "<u4"), ("id", "<i8"), ("t", "<i8"), ("at", "<u4"), ("n", "u1"), ("l", "u1"), ("f", "u1")])
+RECORD = np.dtype([("k", "<u8"), ("e", "<u8"), ("id", "<i8"), ("t", "<i8"), ("at", "<u4"), ("n", "u1"), ("l", "u1"), ("f", "u1")])
 #: Distinct phrases of one trigger in one block of input, and in one bucket, from which it counts as frequent.
 FREQUENT = 24
 
@@ -50,10 +52,25 @@ def cut(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> np.ndar
     row = np.searchsorted(bounds, first, side="right") - 1
     out = np.zeros(len(heads), RECORD)
     out["k"], out["id"], out["at"], out["n"], out["l"] = grams[anchor], row, first - bounds[row], count, anchor - first
-    out["e"] = mix(roll.of(first, first + count + length - 1) + count.astype(np.uint64) * np.uint64(257)) >> np.uint64(32)
+    out["e"] = mix(roll.of(first, first + count + length - 1) + count.astype(np.uint64) * np.uint64(257))
     return out
 
 
+def cut_all(symbols: Callable[[int, int], np.ndarray], bounds: np.ndarray, length: int, k: int) -> np.ndarray:
+    """cut() in parts of a bounded size: symbols(a, b) gives a range of them. Where a long document is parted, a phrase is two with one
+    trigger, which are compared window by window like any others."""
+    n = int(bounds[-1])
+    if n <= 2 * CHUNK:
+        return cut(symbols(0, n), bounds, length, k)
+    out = []
+    for a in range(0, n, CHUNK):
+        own = symbols(a, min(n, a + CHUNK + length - 1))
+        r = cut(own, np.array([0, len(own)]), length, k)
+        r["at"] += np.uint32(a)
+        out.append(r)
+    return np.concatenate(out)
+
+
 def order(r: np.ndarray) -> np.ndarray:
     """Sorts by trigger, phrase, document and place; a document that is there twice counts once."""
     r = r[np.lexsort((r["at"], r["t"], r["id"], r["l"], r["e"], r["k"]))]
@@ -99,7 +116,7 @@ def deal(r: np.ndarray, buckets: int, same_document: bool) -> tuple[np.ndarray,
         signs["f"], signs["e"], signs["at"], signs["n"], signs["l"], signs["id"], signs["t"] = 2, 0, 0, 0, 0, 0, 0
         r = r.copy()
         r["f"][many] = 1
-        bucket[many] = (mix(r["k"][many] + r["e"][many].astype(np.uint64)) >> np.uint64(16)) % np.uint64(buckets)
+        bucket[many] = (mix(r["k"][many] + r["e"][many]) >> np.uint64(16)) % np.uint64(buckets)
         r, bucket = np.concatenate([r, signs]), np.concatenate([bucket, (signs["k"] >> np.uint64(16)) % np.uint64(buckets)])
     return r, bucket.astype(np.int32)
 

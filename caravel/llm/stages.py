@@ -12,12 +12,12 @@ from .packing import pack
 from .suffix_dedup import suffix_array_dedup
 from .toxicity import SCORE, toxicity
 
-KEY = ("_id", "_t")
+KEY = ("_caravel_id", "_caravel_t")
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_t": F.xxhash64(text)})
+    return docs.withColumns({KEY[0]: F.coalesce("doc_id", F.lit(NULL_ID)), KEY[1]: F.xxhash64(text)})
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +28,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links at 0.8; of repeated rows, one."""
-    kept = jaccard_join(keyed(docs), 5, 80).where("first").select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
+    kept = jaccard_join(keyed(docs), 5, 80).where("first").select(F.col("id").alias(KEY[0]), F.col("t").alias(KEY[1])).distinct()
     kept = materialize(kept, "kept")
     return _with_key(docs).join(kept, list(KEY), "left_semi").dropDuplicates(list(KEY)).drop(*KEY)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of 100 that start earlier too; a character that is cut in two goes whole. n_chars follows the text."""
-    out = suffix_array_dedup(docs, length=100, keep_columns=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = suffix_array_dedup(docs, length=100, keep_columns="_caravel_cut")
+    cut = F.col("_caravel_cut").isNotNull()
+    kept = F.col("_caravel_cut.kept_text")
+    return out.withColumns({"text": F.when(cut, kept).otherwise(F.col("text")), "n_chars": F.when(cut, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import doc_id, keyed
 from .phrases import heads
 from .repeats import covered, repeated
-from .textops import chunks, words
+from .textops import chunks, lean, words
 
 SCHEMA = "id long, n_words long, n_removed long, kept string"
 
@@ -136,5 +136,5 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if length < 20:
         raise ValueError("length must be at least 20")
     docs = repeated(keyed(df, id_col, text_col), streamed(length), length, max(16, length - 200), True, False)
-    out = docs.select("id", "text", "spans").mapInArrow(_cut, SCHEMA)
+    out = docs.select("id", "text", "spans").mapInArrow(lean(_cut), SCHEMA)
     return out.select(doc_id().alias("doc_id"), "n_words", "n_removed", "kept")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, doc_id, keyed
 from .repeats import covered, repeated
-from .textops import spread
+from .textops import lean, spread
 
 SCHEMA = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
@@ -95,25 +95,32 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["id"], batch["t"], out["n_removed"], pa.array(kept, pa.string())], names=["id", "t", "n_removed", "kept_text"])
 
 
-def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_columns: bool = False) -> DataFrame:
+def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_columns: bool | str = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) per row of df: every byte covered by a string of `length` bytes that also starts earlier goes.
 
     Earlier: in a document with a smaller id, or in the same document. Strings are judged on the input. Null text: empty; null id: smaller
     than all others and null in the result; rows with one id and different texts are different documents in the order of a hash of the
     text; rows that agree in both are one document and get equal results. kept is binary, since a cut may fall inside a character.
-    Other columns are ignored, unless keep_columns asks for df's rows with (n_removed, kept_text) added, kept_text without characters that
-    are cut in two and null where nothing is removed; an empty table gives no rows.
+    Other columns are ignored, unless keep_columns asks for df's rows with (n_removed, kept_text) added: kept_text is without characters
+    that are cut in two and null where nothing is removed. A string asks for one struct of both under that name, null where nothing is
+    removed. Columns of df that have the added names are an error. An empty table gives no rows; a long text is cut in parts.
     """
     if length < 48:
         raise ValueError("length must be at least 48")
     k = max(32, length - 200)
     docs = repeated(keyed(df, id_col, text_col), equal_windows(length), length, k, False, True)
     if keep_columns:
+        clash = {keep_columns} if isinstance(keep_columns, str) else {"n_removed", "kept_text"}
+        if clash & set(df.columns):
+            raise ValueError(f"the input has columns that would be added: {sorted(clash & set(df.columns))}")
         cut = docs.where("spans is not null").select("id", "t", "text", "spans").dropDuplicates(["id", "t"])
-        cut = cut.select("id", "text", "spans", "t").mapInArrow(_cut_text, "id long, t long, n_removed long, kept_text string")
+        cut = cut.select("id", "text", "spans", "t").mapInArrow(lean(_cut_text), "id long, t long, n_removed long, kept_text string")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        own = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_t": F.xxhash64(text)})
-        cut = cut.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "n_removed", "kept_text")
-        return own.join(cut, ["_id", "_t"], "left").drop("_id", "_t").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
-    out = docs.select("id", "text", "spans").mapInArrow(_cut, SCHEMA)
+        cut = cut.select(F.col("id").alias("_caravel_id"), F.col("t").alias("_caravel_t"), F.struct("n_removed", "kept_text").alias("_caravel_cut"))
+        own = df.withColumns({"_caravel_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_caravel_t": F.xxhash64(text)})
+        own = own.join(cut, ["_caravel_id", "_caravel_t"], "left").drop("_caravel_id", "_caravel_t")
+        if isinstance(keep_columns, str):
+            return own.withColumnRenamed("_caravel_cut", keep_columns)
+        return own.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_caravel_cut.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.col("_caravel_cut.kept_text").alias("kept_text"))
+    out = docs.select("id", "text", "spans").mapInArrow(lean(_cut), SCHEMA)
     return out.select(doc_id().alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")

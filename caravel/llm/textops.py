@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-#: Bytes of text laid end to end at a time; a longer document is taken alone.
-CHUNK = 1 << 21
+#: Bytes of text laid end to end at a time; a longer document is taken alone, and hashed in parts of as many symbols.
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -22,17 +23,41 @@ LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    a = np.full(n + 1, base, np.uint64)
+    a[0] = 1
+    return np.multiply.accumulate(a, out=a)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if len(_powers.get("up", ())) <= n:
-        m = max(n + 1, CHUNK + 4096)
-        for name, b in (("up", BASE), ("down", INVERSE)):
-            a = np.full(m + 1, b, np.uint64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
+    """BASE**i and BASE**-i modulo 2**64 for i up to n; those of a longer sequence are not kept."""
+    if n > 2 * CHUNK:
+        return _power(BASE, n), _power(INVERSE, n)
+    if not _powers:
+        _powers.update(up=_power(BASE, 2 * CHUNK), down=_power(INVERSE, 2 * CHUNK))
     return _powers["up"][: n + 1], _powers["down"][: n + 1]
 
 
+def lean(run: Callable) -> Callable:
+    """Gives a task's memory back to the system at its end: workers are used again, and what each holds on to would add up."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean_run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,6 +115,14 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    if len(data) > 2 * CHUNK and len(starts) > 1:  # in parts, cut between words
+        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), CHUNK)), len(starts)))
+        parts = ((a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return np.concatenate([word_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], lower) if (a, b) != (0, len(starts)) else _word_hashes(data, starts, ends, lower) for a, b in parts])
+    return _word_hashes(data, starts, ends, lower)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     values = BYTE_VALUE[LOWER[data]] if lower else BYTE_VALUE[data]
     return mix(Rolling(values).of(starts, ends) + (ends - starts).astype(np.uint64))
 

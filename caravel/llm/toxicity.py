@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, materialize
 
 GRAM = 5
 WINDOW, STEP = 48, 32
@@ -145,21 +145,21 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     return model
 
 
-def scorer(model: Model, text_col: str):
-    """Appends the score as last column to batches with any columns."""
+def scorer(model: Model):
+    """The score of each text of a column; the other columns of a row never reach Python."""
+    ready: list = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = compressors(model)
-        w, center, scale = (np.array(v) for v in (model.weights, model.center, model.scale))
-        for batch in batches:
-            x = np.array([features(savings(t or b"", both), model.rates) for t in batch[text_col].cast(pa.binary()).to_pylist()]).reshape(batch.num_rows, len(center))
-            score = 1 / (1 + np.exp(-np.clip(((x - center) / scale) @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, SCORE])
+    def run(texts: pa.Array) -> pa.Array:
+        if not ready:
+            ready.extend([compressors(model), *(np.array(v) for v in (model.weights, model.center, model.scale))])
+        both, w, center, scale = ready
+        x = np.array([features(savings(t or b"", both), model.rates) for t in texts.cast(pa.binary()).to_pylist()]).reshape(len(texts), len(center))
+        return pa.array(1 / (1 + np.exp(-np.clip(((x - center) / scale) @ w[:-1] + w[-1], -30, 30))))
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
-SCORE = "_toxicity_score"
+SCORE = "_caravel_toxicity"
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_bytes: int) -> Model:
@@ -169,8 +169,14 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     y = y.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     share = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows = keyed(df, id_col, text_col).where(F.octet_length("text").between(1, max_bytes))
-    keys = rows.select("id", "t").join(y, "id").distinct()
-    chosen = [(r["id"], r["t"], label) for label in (1, 0) for r in keys.where(F.col("y") == label).orderBy(F.xxhash64("id"), "t").limit(per_class).collect()]
+    keys = materialize(rows.select("id", "t").join(y, "id").distinct(), "labelled")
+    present = {r["y"]: r["n"] for r in keys.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = []
+    for label in (1, 0):
+        # Twice the rows wanted at most, in expectation, are ordered, so that what tasks send the driver does not grow with their number.
+        part = min(1.0, 2 * per_class / max(1, present.get(label, 0)))
+        own = keys.where((F.col("y") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))))
+        chosen += [(r["id"], r["t"], label) for r in own.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id", "t").limit(per_class).collect()]
     # The texts of the chosen only, at most twice per_class rows, are sent: no text of any other row is.
     own = F.broadcast(df.sparkSession.createDataFrame(chosen, "id long, t long, y int"))
     part = rows.join(own, ["id", "t"]).dropDuplicates(["id", "t"]).select(F.xxhash64("id").alias("h"), F.col("text").cast("binary").alias("b"), "y")
@@ -183,13 +189,12 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, max_bytes: int = 16_384) -> DataFrame:
-    """df with a last column _toxicity_score, the probability of label 1, which depends on the row's whole text only.
+    """df with a last column _caravel_toxicity (SCORE), the probability of label 1, which depends on the row's whole text only.
 
     The classifier is fitted on a bounded sample of labelled rows: per_class documents of each class with at most max_bytes bytes, never
     one whose crc32 of the id as text is divisible by 5. Null and empty texts count as one empty window; repeated rows get equal scores;
-    without labels of both classes all scores are 0.5. Null ids and other columns pass through; an empty table gives no rows.
+    without labels of both classes all scores are 0.5. Texts of any length are scored by all their windows. Null ids and other columns pass
+    through; an empty table gives no rows. Documents that tie in the hash of their ids are chosen in the order of id and text hash.
     """
     model = learn(df, labels, id_col, text_col, label_col, per_class, max_bytes)
-    text = df.withColumn(text_col, F.col(text_col).cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema.fields)
-    return text.mapInArrow(scorer(model, text_col), f"{schema}, {SCORE} double")
+    return df.withColumn(SCORE, scorer(model)(F.col(text_col).cast("string")))
