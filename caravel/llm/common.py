@@ -65,6 +65,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # the driver's cleaner then removes the shuffle files that led here
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -24,7 +24,7 @@ from .textops import BYTE_VALUE, CHUNK, Rolling, chunks, lean, mix, release, spr
 
 WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("t", "<i8"), ("at", "<u4")])
 #: Records that a task holds before it sends them on.
-BLOCK = 250_000
+BLOCK = 400_000
 #: Bytes of text for which there is a bucket.
 BUCKET_BYTES = 16 << 20
 #: Bytes of content and windows that a task holds before it sends them on.
