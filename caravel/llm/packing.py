@@ -2,8 +2,8 @@
 
 Documents are tokenised and cut where they are longer than a sequence. What is packed is the histogram of piece lengths, which has at most
 `capacity` entries whatever the input: patterns of lengths are found in it, each with the number of times it is used. A pattern starts
-with the longest length left; single, pair and triple sums are indexed to fill its gap exactly under the counts still available; where no
-combination does, the best-fitting (longest) length goes in and the search goes on in the smaller gap. Pieces get their places by their
+with the longest length left; single lengths, an index of pair sums, and triples through that index fill its gap exactly under the counts
+still available; where no combination does, the best-fitting (longest) length goes in and the search goes on in the smaller gap. Pieces get their places by their
 rank among those of their length.
 """
 
@@ -18,36 +18,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_id, keyed, materialize, partitions
+from .textops import lean
 from .tokens import default_path, encode
 
 PIECES = "id long, t long, piece int, start long, length int, ids_crc32 long"
 
 
-def complement(gap: int, count: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that sum to gap exactly; the longest first."""
-    if count[gap] > 0:
-        return [gap]
-    have = count > 0
-    x = np.arange(1, gap // 2 + 1)
-    y = gap - x
-    ok = np.flatnonzero(have[x] & have[y] & ((x != y) | (count[x] > 1)))
-    if len(ok):
-        i = int(ok[0])
-        return [int(y[i]), int(x[i])]
-    lengths = np.flatnonzero(have[:gap])
-    if len(lengths):
-        a, b = np.meshgrid(lengths, lengths, indexing="ij")
-        c = gap - a - b
-        ok = (a >= b) & (c >= 1) & (b >= c)
-        ok[ok] = have[c[ok]]
-        if ok.any():
-            a, b, c = a[ok], b[ok], c[ok]
-            need = 1 + (a == b) + (b == c)
-            fits = np.flatnonzero((count[a] >= 1 + (a == b) + (a == c)) & (count[b] >= need) & (count[c] >= 1 + (b == c) + (a == c)))
-            if len(fits):
-                i = int(fits[np.argmax(a[fits])])
-                return [int(a[i]), int(b[i]), int(c[i])]
-    return None
+class Sums:
+    """Index of the sums of two available lengths, from which triples follow as one length and a pair. Lengths only ever run out, so it is
+    kept up to date by taking away; what it finds is checked against the counts that a pattern in the making leaves."""
+
+    def __init__(self, count: np.ndarray):
+        self.capacity = len(count) - 1
+        self.lengths = np.flatnonzero(count)
+        self.pairs = np.zeros(2 * len(count), np.int64)
+        for i, x in enumerate(self.lengths.tolist()):
+            self.pairs[x + self.lengths[i + 1 :]] += 1
+            self.pairs[2 * x] += count[x] > 1
+
+    def update(self, before: np.ndarray, after: np.ndarray) -> None:
+        for x in np.flatnonzero((before > 1) & (after < 2)).tolist():
+            self.pairs[2 * x] -= 1
+        for x in np.flatnonzero((before > 0) & (after == 0)).tolist():
+            self.lengths = self.lengths[self.lengths != x]
+            self.pairs[x + self.lengths] -= 1
+
+    def pair(self, gap: int, left: np.ndarray) -> list[int] | None:
+        if gap < 2 or not self.pairs[gap]:
+            return None
+        x = self.lengths[: np.searchsorted(self.lengths, gap // 2, side="right")]
+        y = gap - x
+        ok = np.flatnonzero((left[x] > 0) & (left[y] > 0) & ((x != y) | (left[x] > 1)))
+        return [int(y[ok[0]]), int(x[ok[0]])] if len(ok) else None
+
+    def triple(self, gap: int, left: np.ndarray) -> list[int] | None:
+        longest = self.lengths[: np.searchsorted(self.lengths, gap - 2, side="right")][::-1]
+        longest = longest[(self.pairs[gap - longest] > 0) & (left[longest] > 0)]
+        for a in longest.tolist():
+            if 3 * a < gap:
+                return None  # the two others would be longer
+            left[a] -= 1
+            found = self.pair(gap - a, left)
+            left[a] += 1
+            if found and found[0] <= a:
+                return [a, *found]
+        return None
+
+    def complement(self, gap: int, left: np.ndarray) -> list[int] | None:
+        """One, two or three available lengths that sum to gap exactly."""
+        return [gap] if left[gap] > 0 else self.pair(gap, left) or self.triple(gap, left)
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -55,15 +74,16 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[i
     count = np.zeros(capacity + 1, np.int64)
     for k, v in histogram.items():
         count[k] = v
-    out = []
-    while count.any():
-        a = int(np.flatnonzero(count)[-1])
+    sums, out = Sums(count), []
+    while len(sums.lengths):
+        a = int(sums.lengths[-1])
         left, own, gap = count.copy(), [a], capacity - a
         left[a] -= 1
         while gap:
-            found = complement(gap, left)
+            found = sums.complement(gap, left)
             if found is None:
-                fits = np.flatnonzero(left[: gap + 1])
+                fits = sums.lengths[: np.searchsorted(sums.lengths, gap, side="right")]
+                fits = fits[left[fits] > 0]
                 if not len(fits):
                     break
                 found = [int(fits[-1])]
@@ -74,7 +94,8 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[i
         need = np.bincount(own, minlength=capacity + 1)
         used = need > 0
         times = int((count[used] // need[used]).min())
-        count -= times * need
+        before, count = count, count - times * need
+        sums.update(before, count)
         out.append((times, own))
     return out
 
@@ -109,7 +130,7 @@ def tokenizing(path: str, capacity: int, end: int):
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "t", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return lean(run)
 
 
 def _placing(table: dict[str, np.ndarray]):
@@ -129,8 +150,9 @@ def pack(df: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece of every row of df.
 
     A null text is empty, so it has the end token only; null ids stay null; repeated rows are packed as often as they are there. Documents
-    longer than capacity are cut into full pieces and a rest. Other columns are ignored; an empty table gives no rows. The driver gets the
-    histogram of lengths, at most `capacity` rows.
+    longer than capacity, however long, are cut into full pieces and a rest. Pieces of one length are placed in the order in which they
+    are stored (ties are not told apart). Other columns are ignored; an empty table gives no rows. The driver gets the histogram of
+    lengths, at most `capacity` rows.
     """
     spark = df.sparkSession
     pieces = materialize(keyed(df, id_col, text_col).mapInArrow(tokenizing(tokenizer or default_path(), capacity, end_id), PIECES), "pieces")
