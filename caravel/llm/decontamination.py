@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id, keyed
-from .textops import Rolling, chunks, mix, word_hashes, words
+from .common import bounded, doc_id, keyed, materialize
+from .textops import Rolling, chunks, lean, mix, word_hashes, words
 
 HITS = "id long, t long, item_id long, score double, start_word long, end_word long"
 MATCH, OTHER, GAP = 1.0, -0.5, -0.5
@@ -117,7 +117,11 @@ def hits(items: Items, w: np.ndarray, threshold: float) -> dict[int, tuple[float
 
 
 def _documents(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, np.ndarray]]:
-    for a, b, data, bounds in chunks(batch[text_col]):
+    return _texts(batch[text_col])
+
+
+def _texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    for a, b, data, bounds in chunks(texts):
         starts, ends, first = words(data, bounds)
         w = word_hashes(data, starts, ends, lower=True)
         for i in range(a, b):
@@ -143,11 +147,13 @@ def benchmark_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     score: local alignment (match 1, other word -0.5, gap -0.5) over the item's number of words, threshold or more. Words are compared with
     A-Z lower-cased. Null or empty texts hold nothing; null ids stay null; repeated rows give one row; items with null text are ignored,
-    repeated items count once; empty tables give no rows; other columns are ignored. share has no effect: seeds are not chosen by frequency.
+    repeated items count once; empty tables give no rows; other columns are ignored; texts of any length are searched whole. Of alignments that
+    tie, the first passage's counts. share has no effect: seeds are not chosen by frequency. Items go to all tasks in blocks of ITEM_BYTES.
     """
     docs = keyed(df, id_col, text_col)
-    out = None
-    for block in _blocks(items, item_col, text_col, n):
+    out, blocks = None, _blocks(items, item_col, text_col, n)
+    block = next(blocks, None)
+    while block is not None:
 
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -155,23 +161,34 @@ def benchmark_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["id", "t", "item_id", "score", "start_word", "end_word"])
 
-        own = docs.mapInArrow(run, HITS)
+        own = docs.mapInArrow(lean(run), HITS)
+        block = next(blocks, None)
+        if block is not None:  # one block at a time is held and sent
+            own = materialize(own, "hits")
         out = own if out is None else out.unionByName(own)
     if out is None:
         out = df.sparkSession.createDataFrame([], HITS)
     return out.distinct().select(doc_id().alias("doc_id"), "item_id", "score", "start_word", "end_word")
 
 
-def decontaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, share: float = 0.001, threshold: float = 0.5) -> DataFrame:
-    """The rows of df, all columns, that hold no test item (see benchmark_hits)."""
-    for block in _blocks(items, item_col, text_col, n):
+def _clean(block: Items, threshold: float):
+    def run(texts: pa.Array) -> pa.Array:
+        clean = np.ones(len(texts), bool)
+        for i, w in _texts(texts):
+            clean[i] = not hits(block, w, threshold)
+        return pa.array(clean)
+
+    return run
 
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for i, w in _documents(batch, text_col):
-                    clean[i] = not hits(block, w, threshold)
-                yield batch.filter(pa.array(clean))
 
-        df = df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, df.withColumn(text_col, F.col(text_col).cast("string")).schema)
+def decontaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, share: float = 0.001, threshold: float = 0.5) -> DataFrame:
+    """The rows of df, all columns, that hold no test item (see benchmark_hits)."""
+    bounded(df.sparkSession)
+    df, blocks = df.withColumn(text_col, F.col(text_col).cast("string")), _blocks(items, item_col, text_col, n)
+    block = next(blocks, None)
+    while block is not None:
+        df = df.where(F.arrow_udf(_clean(block, threshold), "boolean")(F.col(text_col)))
+        block = next(blocks, None)
+        if block is not None:
+            df = materialize(df, "clean")
     return df
