@@ -149,7 +149,8 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The list is learned from about `sample` labelled ids that pass the base rules, chosen by a hash of the id. Without labels it is empty
     and the base rules decide alone. Null and empty texts have no words and fail; null ids stay null; repeated rows get equal verdicts;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows; texts of any length are counted whole. Of conditions that tie, the first in
+    the order of FEATURES and thresholds is taken.
     """
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("y"))
     n = y.count()
@@ -158,6 +159,6 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = keyed(df, id_col, text_col)
     rows = statistics(docs.join(F.broadcast(y.select("id")), "id", "left_semi"))  # about `sample` ids at most
     rows = rows.where(~base_failed()).join(y, "id").select((1 - F.col("y")).cast("long").alias("bad"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(3)).alias("part"), *FEATURES)
-    rules = learn(materialize(rows.coalesce(8), "quality-sample"))
+    rules = learn(materialize(rows.repartition(8), "quality-sample"))  # numbers of the sample only
     out = statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rules.rejected()))
     return out.withColumn("doc_id", doc_id()).drop("id"), rules
