@@ -1,8 +1,8 @@
 """Licence scan, in DataFrame operations only.
 
-Lines that could reach the threshold are compared with the templates by sparse TF-IDF cosine; idf comes from all documents. A file
-whose whole text is close to a template, or that is named like one, is its directory's licence file. Files without a licence of their
-own take that of the nearest ancestor directory, by joins of paths.
+Lines and headers (paragraphs of several lines) that could reach the threshold are compared with the templates by sparse TF-IDF cosine; idf
+comes from all documents. A file whose whole text is close to a template, or that is named like one, is its directory's licence file. Files
+without a licence of their own take that of the nearest ancestor directory, by joins of paths.
 """
 
 from __future__ import annotations
@@ -13,18 +13,57 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, doc_id, lower_ascii
+from .common import NULL_ID, doc_id, lower_ascii, materialize, partitions
 
-#: Short notices by which texts name their licence (fixed values).
+#: Notices, headers and short licence texts by which files name their licence (fixed values, the licences' own public wording).
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright to this work.", "SPDX-License-Identifier: CC0-1.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ),
+    "ISC": (
+        "SPDX-License-Identifier: ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies.""",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        "SPDX-License-Identifier: MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
     "Proprietary": ("All rights reserved.",),
 }
 TOKEN = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
@@ -114,11 +153,11 @@ def _best_whole(words: Column, weights: dict[str, float], unknown: float, vector
 def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, path, license, score, n_lines, is_license_file, effective_license, inherited_from) per row of files.
 
-    license: of the best line with a cosine of threshold or more, else null; effective_license: that, or the one of the nearest ancestor
+    license: of the best line or header with a cosine of threshold or more, else null (n_lines counts the lines); effective_license: that, or the one of the nearest ancestor
     directory with a licence file (inherited_from). The first of several licence files of a directory by score, then by name, counts.
     Null texts have no lines; null paths have no directory and inherit nothing; null ids stay null; repeated rows give equal rows; other
-    columns are ignored; an empty table gives no rows. What is broadcast is the templates' terms and the directories that have licence
-    files, the latter by Spark's own size check.
+    columns are ignored; an empty table gives no rows; texts of any length are compared whole. Of templates that tie, the licence whose name
+    is last counts. What is broadcast is the templates' terms and, for directories with many rows, 2 * partitions rows at most.
     """
     templates = TEMPLATES if templates is None else templates
     rows = files.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -135,17 +174,29 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     unknown = idf(n, 0)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
     best = F.filter(F.transform(lines, lambda x: _best(_tokens(x), weights, unknown, vectors)), lambda x: x["score"] >= threshold)
+    headers = F.filter(F.split("text", r"\n[\x20\x09\x0B-\x0D]*\n"), lambda x: x.contains("\n") & x.rlike(pattern))
+    above = F.filter(F.transform(headers, lambda x: _best_whole(_tokens(x), weights, unknown, vectors)), lambda x: x["score"] >= threshold)
     empty = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("license"))
-    scanned = rows.select("id", "path", best.alias("found"), F.when(F.col("text").rlike(pattern), _best_whole(_tokens(F.col("text")), weights, unknown, vectors)).otherwise(empty).alias("whole"))
-    top = F.array_max("found")
+    none = F.array().cast("array<struct<score:double,license:string>>")
+    # One test of the whole text spares the others' work where no template can match.
+    held = F.when(F.col("text").rlike(pattern), F.struct(best.alias("lines"), above.alias("headers"), _best_whole(_tokens(F.col("text")), weights, unknown, vectors).alias("whole")))
+    scanned = rows.select("id", "path", held.alias("held")).select("id", "path", F.coalesce("held.lines", none).alias("found"), F.coalesce("held.headers", none).alias("headers"), F.coalesce("held.whole", empty).alias("whole"))
+    top = F.array_max(F.concat("found", "headers"))
     is_file = top.isNotNull() & ((F.col("whole.score") >= threshold) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)))
     scanned = scanned.select("id", "path", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))).alias("dir"), top["license"].alias("license"), top["score"].alias("score"), F.size("found").alias("n_lines"), is_file.alias("is_license_file"))
+    scanned = materialize(scanned, "licences")  # without the texts
     # The first licence file of each directory, and for each directory its nearest ancestor that has one.
     owned = scanned.where("is_license_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("f")).select(F.col("dir").alias("above"), F.col("f.license").alias("inherited"))
     parts = F.split("dir", "/")
-    dirs = scanned.where("dir is not null").select("dir").distinct()
+    dirs = materialize(scanned.where("dir is not null").groupBy("dir").agg(F.count("*").alias("n")), "directories")
     ancestors = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("above")).distinct()
     nearest = ancestors.join(owned, "above").groupBy("dir").agg(F.max_by(F.struct("inherited", "above"), F.length("above")).alias("up"))
-    out = scanned.join(nearest, "dir", "left")
+    # Directories with more than a half of a partition's share of the rows, 2 * partitions at most, are joined where their rows are.
+    share = 2 * partitions(files.sparkSession)
+    hot = [r["dir"] for r in dirs.where(F.col("n") * share > n).select("dir").collect()] if n > 10_000 else []
+    is_hot = F.coalesce(F.col("dir").isin(hot), F.lit(False)) if hot else F.lit(False)
+    out = scanned.where(~is_hot).join(nearest.where(~is_hot), "dir", "left")
+    if hot:
+        out = out.unionByName(scanned.where(is_hot).join(F.broadcast(nearest.where(is_hot)), "dir", "left"))
     inherits = F.col("license").isNull() & F.col("up").isNotNull()
     return out.select(doc_id().alias("doc_id"), "path", "license", "score", "n_lines", "is_license_file", F.coalesce("license", F.col("up.inherited")).alias("effective_license"), F.when(inherits, F.col("up.above")).alias("inherited_from"))
