@@ -60,17 +60,36 @@ def discard(df: DataFrame) -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes a table in the shared folder and reads it back, so that a lost executor never repeats what came before."""
+    """Cuts the lineage: writes a table in the shared folder and reads it back, so that a lost executor never repeats what came before. The
+    shuffle files that led to the table go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     _written.append((spark, path))
-    spark.sparkContext._jvm.System.gc()  # the driver's cleaner then removes the shuffle files that led here
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def written() -> int:
+    """A mark for discard_since()."""
+    return len(_written)
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Removes the tables written since a mark but those to keep."""
+    kept = {df._written_to for df in keep}
+    for own in [x for x in _written[mark:] if x[1] not in kept]:
+        _remove(*own)
+        _written.remove(own)
+
+
 def bounded(spark: SparkSession) -> None:
     """Arrow batches by bytes, not by rows alone, so that long texts make no large batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

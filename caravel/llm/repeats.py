@@ -81,6 +81,7 @@ def settler(same_document: bool, length: int) -> Callable[[pa.Table], pa.Table]:
         r, removed, open_ = settle(np.concatenate([np.frombuffer(x, RECORD) for x in group["blob"].to_pylist()]), same_document)
         keep = removed | (open_ > 0)
         r, kind = r[keep], np.where(removed, 0, open_)[keep]
+        r["k"][kind == 0], r["l"][kind == 0] = 0, 0  # only open phrases meet again
         return pa.table({
             "id": pa.array(r["id"], pa.int64()), "t": pa.array(r["t"], pa.int64()), "kind": pa.array(kind.astype(np.int32)), "at": pa.array(r["at"].astype(np.int64)),
             "n": pa.array(r["n"].astype(np.int32)), "l": pa.array(r["l"].astype(np.int32)), "k": pa.array(r["k"].view(np.int64) if r["k"].flags.c_contiguous else np.ascontiguousarray(r["k"]).view(np.int64)),
@@ -224,7 +225,7 @@ def comparer(compare: Callable[[np.ndarray, np.ndarray], np.ndarray], same_docum
 
 
 def repeated(docs: DataFrame, compare: Callable, length: int, k: int, by_words: bool, same_document: bool) -> DataFrame:
-    """(id, t, text, spans: array of start, end or null): symbols that some window covers which also starts earlier. docs as from keyed()."""
+    """(id, t, spans: array of start, end) of documents in which windows cover symbols that also start earlier. docs as from keyed()."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets = max(4 * partitions(docs.sparkSession), size // BUCKET_BYTES)
     sent = docs.mapInArrow(sender(length, k, by_words, same_document, buckets), BLOBS)
@@ -233,8 +234,7 @@ def repeated(docs: DataFrame, compare: Callable, length: int, k: int, by_words:
     open_ = settled.where("kind > 0").groupBy("id", "t").agg(F.collect_list(F.struct("kind", "at", "n", "l", "k")).alias("open"))
     found = docs.join(open_, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(opener(length, by_words, same_document, buckets), BLOBS)
     found = materialize(found.groupBy("bucket").applyInArrow(comparer(compare, same_document, length, by_words), SPANS), "windows")
-    every = whole.unionByName(found).groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.join(every, ["id", "t"], "left")
+    return whole.unionByName(found).groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, materialize, table
+from .common import NULL_ID, discard_since, keyed, materialize, table, written
 from .decontamination import decontaminated
 from .jaccard import jaccard_join
 from .packing import pack
@@ -28,8 +28,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links at 0.8; of repeated rows, one."""
+    mark = written()
     kept = jaccard_join(keyed(docs), 5, 80).where("first").select(F.col("id").alias(KEY[0]), F.col("t").alias(KEY[1])).distinct()
     kept = materialize(kept, "kept")
+    discard_since(mark, kept)
     return _with_key(docs).join(kept, list(KEY), "left_semi").dropDuplicates(list(KEY)).drop(*KEY)
 
 

@@ -135,6 +135,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if length < 20:
         raise ValueError("length must be at least 20")
-    docs = repeated(keyed(df, id_col, text_col), streamed(length), length, max(16, length - 200), True, False)
+    docs = keyed(df, id_col, text_col)
+    docs = docs.join(repeated(docs, streamed(length), length, max(16, length - 200), True, False), ["id", "t"], "left")
     out = docs.select("id", "text", "spans").mapInArrow(lean(_cut), SCHEMA)
     return out.select(doc_id().alias("doc_id"), "n_words", "n_removed", "kept")

@@ -88,11 +88,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for out in _cut(iter([batch])):
-            kept = [x.decode("utf-8", "ignore") for x in out["kept"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["t"], out["n_removed"], pa.array(kept, pa.string())], names=["id", "t", "n_removed", "kept_text"])
+def _cut_text(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """(n_removed, kept_text) of texts with spans; null where there are none."""
+    blank = pa.array(np.zeros(len(text), np.int64))
+    out = next(_cut(iter([pa.RecordBatch.from_arrays([blank, text, spans], names=["id", "text", "spans"])])))
+    kept = pa.array([x.decode("utf-8", "ignore") for x in out["kept"].to_pylist()], pa.string())
+    return pa.StructArray.from_arrays([out["n_removed"], kept], names=["n_removed", "kept_text"])
 
 
 def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_columns: bool | str = False) -> DataFrame:
@@ -108,19 +109,19 @@ def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if length < 48:
         raise ValueError("length must be at least 48")
     k = max(32, length - 200)
-    docs = repeated(keyed(df, id_col, text_col), equal_windows(length), length, k, False, True)
+    docs = keyed(df, id_col, text_col)
+    spans = repeated(docs, equal_windows(length), length, k, False, True)
     if keep_columns:
         clash = {keep_columns} if isinstance(keep_columns, str) else {"n_removed", "kept_text"}
         if clash & set(df.columns):
             raise ValueError(f"the input has columns that would be added: {sorted(clash & set(df.columns))}")
-        cut = docs.where("spans is not null").select("id", "t", "text", "spans").dropDuplicates(["id", "t"])
-        cut = cut.select("id", "text", "spans", "t").mapInArrow(lean(_cut_text), "id long, t long, n_removed long, kept_text string")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        cut = cut.select(F.col("id").alias("_caravel_id"), F.col("t").alias("_caravel_t"), F.struct("n_removed", "kept_text").alias("_caravel_cut"))
         own = df.withColumns({"_caravel_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_caravel_t": F.xxhash64(text)})
-        own = own.join(cut, ["_caravel_id", "_caravel_t"], "left").drop("_caravel_id", "_caravel_t")
+        spans = spans.select(F.col("id").alias("_caravel_id"), F.col("t").alias("_caravel_t"), F.col("spans").alias("_caravel_spans"))
+        cut = F.arrow_udf(_cut_text, "n_removed long, kept_text string")(text, F.col("_caravel_spans"))
+        own = own.join(spans, ["_caravel_id", "_caravel_t"], "left").withColumn("_caravel_cut", F.when(F.col("_caravel_spans").isNotNull(), cut)).drop("_caravel_id", "_caravel_t", "_caravel_spans")
         if isinstance(keep_columns, str):
             return own.withColumnRenamed("_caravel_cut", keep_columns)
         return own.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_caravel_cut.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.col("_caravel_cut.kept_text").alias("kept_text"))
-    out = docs.select("id", "text", "spans").mapInArrow(lean(_cut), SCHEMA)
+    out = docs.join(spans, ["id", "t"], "left").select("id", "text", "spans").mapInArrow(lean(_cut), SCHEMA)
     return out.select(doc_id().alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
