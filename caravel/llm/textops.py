@@ -100,6 +100,22 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tu
         at = to
 
 
+def segments(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As chunks(), but a document of more than twice the limit comes in several, cut at white space; the last field is false but for its last."""
+    for a, b, data, bounds in chunks(texts, limit):
+        if len(data) <= 2 * limit:
+            yield a, b, data, bounds, True
+            continue
+        at = 0
+        while at < len(data):
+            to = at + limit
+            while to < len(data) and not (space := np.flatnonzero(SPACE[data[to : to + limit]])).size:
+                to += limit
+            to = min(len(data), to + int(space[0])) if to < len(data) else len(data)
+            yield a, b, data[at:to], np.array([0, to - at]), to == len(data)
+            at = to
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each document the index of its first word (one more at the end)."""
     inside = np.zeros(len(data) + 2, np.int8)

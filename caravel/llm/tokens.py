@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from .textops import spread, word_hashes
+from .textops import segments, spread, word_hashes, words
 
 #: Words that a worker remembers.
 REMEMBERED = 1_500_000
@@ -139,9 +139,14 @@ def encoder(path: str) -> Words:
 
 def encode(texts, path: str):
     """(first row, row after the last, ids end to end, their bounds) of a text column, without special tokens of its own; null: none."""
-    from .textops import chunks, words
-
-    for a, b, data, bounds in chunks(texts):
+    held = []
+    for a, b, data, bounds, last in segments(texts):
         starts, ends, first = words(data, bounds)
         ids, size, _, _ = encoder(path).encode(data, starts, ends)
-        yield a, b, ids, np.append(0, np.cumsum(size))[first]
+        if held or not last:  # a long document in parts
+            held.append(ids)
+            if last:
+                ids, held = np.concatenate(held), []
+                yield a, b, ids, np.array([0, len(ids)])
+        else:
+            yield a, b, ids, np.append(0, np.cumsum(size))[first]
