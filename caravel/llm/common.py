@@ -68,7 +68,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     _written.append((spark, path))
