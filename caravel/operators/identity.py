@@ -93,6 +93,10 @@ def select_tables(catalogue: list[TableId], cards: list[Card]) -> list[TableId]:
     taken: set[TableId] = set()
     for card in cards:
         own = card.selected(catalogue)
+        for other in cards:
+            make = re.compile if other.regex else glob
+            if other is not card and other.exclude is not None and (lost := {t for t in own if make(other.exclude).fullmatch(t.text())}):
+                raise ValueError(f"{card} selects what {other} excludes: {sorted(t.text() for t in lost)}")
         if not own:
             raise ValueError(f"{card} selects nothing")
         if own & taken:
