@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Types that have no JSON form of their own (fixed values).
+UNSUPPORTED = (T.BinaryType, T.CalendarIntervalType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.VariantType)
+
+
 def ndjson(df: DataFrame) -> Column:
-    """One JSON object with explicit nulls; non-finite numbers stop the job."""
+    """One JSON object with explicit nulls. Dates are days and times microseconds, as integers; non-finite numbers stop the job; types without a
+    JSON form are refused before any row."""
+    wrong = [f.name for f in df.schema.fields if isinstance(f.dataType, UNSUPPORTED)]
+    if wrong:
+        raise ValueError(f"columns have no JSON form: {wrong}")
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -16,6 +24,8 @@ def ndjson(df: DataFrame) -> Column:
             c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"{f.name} is not finite"))).otherwise(c)
         elif isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
             c = F.unix_micros(c.cast("timestamp"))
+        elif isinstance(f.dataType, T.DateType):
+            c = F.unix_date(c)
         cols.append(c.alias(f.name))
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 

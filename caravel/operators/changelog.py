@@ -58,7 +58,7 @@ def errors(events: DataFrame, keys: list[str], op: str = "op", pos: str = "pos",
 def checked(events: DataFrame, keys: list[str], op: str = "op", pos: str = "pos", version: str = "version", mask: str | None = None, width: int | None = None, full: bool = False) -> DataFrame:
     """The events; the first that breaks the contract stops the job."""
     reason = _reasons(keys, op, pos, version, mask, width, full)
-    return events.withColumn("_reason", reason).withColumn(op, F.when(F.col("_reason").isNull(), F.col(op)).otherwise(F.raise_error("_reason"))).drop("_reason")
+    return events.withColumn("_reason", reason).withColumn(op, F.when(F.col("_reason").isNull(), F.col(op)).otherwise(F.raise_error(F.col("_reason")))).drop("_reason")
 
 
 def _octet(mask: Column, i: int) -> Column:

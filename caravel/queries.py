@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import serializers
-from .operators import changelog, splits
+from .operators import changelog
 from .operators.filters import filter_eq
 from .operators.identity import TableId, rename, union_renamed
 from .plans.sqlgate import run_sql
+from . import queries_delivery
+from .queries_sql import DIALECT, SHARED
 from .sources import generator, parsers
 
 #: SQL that both engines read alike: name -> (table that is `input`, query, further relations).
 SHARED_SQL: dict[str, tuple[str, str, tuple[str, ...]]] = {
-    "sql_project_filter": ("events", "SELECT event_id * 10 AS scaled_id, upper(event_type) AS label FROM input WHERE value >= 50", ()),
+    "sql_project_filter": ("events", "SELECT user_id + event_id AS total, concat(event_type, '/', user_id) AS tag FROM input WHERE value < 12.5 OR event_type = 'signup'", ()),
     "sql_group_count": ("events", "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM input GROUP BY user_id", ()),
     "sql_having_filter": ("events", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM input GROUP BY user_id HAVING count(*) > 5", ()),
     "sql_min_max_avg": ("lineitem", "SELECT l_returnflag, l_linestatus, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 4) AS mean, round(sum(l_extendedprice), 2) AS total, count(*) AS n FROM input GROUP BY l_returnflag, l_linestatus", ()),
@@ -57,11 +59,13 @@ DIALECT_SQL: dict[str, tuple[str, str, str]] = {
     "sql_array_fns": ("embeddings", "SELECT vec_id, size(embedding) AS n, round(element_at(embedding, 1), 5) AS head, round(array_max(embedding), 5) AS top, size(slice(embedding, 1, 3)) AS three FROM input", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(embedding[1], 5) AS head, round(list_max(embedding), 5) AS top, CAST(len(embedding[1:3]) AS INTEGER) AS three FROM embeddings"),
     "sql_median": ("lineitem", "SELECT l_linestatus, round(median(l_quantity), 4) AS med FROM input GROUP BY l_linestatus", "SELECT l_linestatus, round(median(l_quantity), 4) AS med FROM lineitem GROUP BY l_linestatus"),
     "sql_string_agg": ("nation", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM input GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
-    "sql_groups_frame": ("events", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY event_type ORDER BY d RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS d FROM input)", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM events"),
-    "sql_qualify": ("events", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM input) WHERE rn <= 2", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 2"),
 }
 
 
+SHARED_SQL |= SHARED
+DIALECT_SQL |= DIALECT
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,7 +131,7 @@ def max_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = parsers.raw_to_table(generator.messages(table(spark, sf_dir, "events").where("event_id % 17 <> 0")))
+    out = parsers.raw_to_table(generator.messages(table(spark, sf_dir, "events")))
     return out.select("topic", "partition", "offset", "tombstone", F.get_json_object(F.col("value").cast("string"), "$.event_type").alias("kind"))
 
 
@@ -167,15 +171,6 @@ def debezium_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.select("version", F.get_json_object(line, "$.op").alias("op"), F.get_json_object(line, "$.after.event_type").alias("kind"))
 
 
-def split_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per range; their sum is the table."""
-    li = table(spark, sf_dir, "lineitem")
-    chunk = F.lit(None).cast("int")
-    for i, p in enumerate(splits.equal_ranges("l_orderkey", 0, 8000, 8)):
-        chunk = F.when(F.expr(p), F.lit(i)).otherwise(chunk)
-    return li.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
-
-
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in ("region", "nation", "events", "orders")]
     return union_renamed(frames)
@@ -213,7 +208,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ndjson": ndjson,
     "debezium_emit": debezium_emit,
     "generator_numeric": lambda s, d: generator.numeric(s, 4, 1000, 5),
-    "split_cover": split_cover,
     "row_counts": row_counts,
 }
 
@@ -232,7 +226,7 @@ SELECT user_id, pos, op_class, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY
     "json_dlq": MSG + """SELECT to_base64(encode('{broken ' || event_id)) AS raw_base64, 'not a JSON document' AS error_message, part AS partition, off AS "offset" FROM m WHERE event_id % 17 = 0""",
     "json_parse_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "tskv_parse": 'SELECT event_type AS level, event_id AS "count" FROM events',
-    "raw_to_table": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS off FROM events WHERE event_id % 17 <> 0) SELECT 'events' AS topic, user_id % 4 AS partition, off AS "offset", FALSE AS tombstone, event_type AS kind FROM m""",
+    "raw_to_table": MSG + """SELECT topic, part AS partition, off AS "offset", FALSE AS tombstone, CASE WHEN event_id % 17 <> 0 THEN event_type END AS kind FROM m""",
     "raw_to_table_all": MSG + """SELECT topic, part AS partition, off AS "offset", FALSE AS tombstone, CASE WHEN event_id % 17 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 17 = 0 THEN to_base64(encode('{broken ' || event_id)) END AS raw_base64 FROM m""",
     "max_offset": "SELECT 'events' AS topic, user_id % 4 AS partition, count(*) AS next_offset FROM events GROUP BY user_id % 4",
     "table_union_by_rename": "SELECT event_id, event_type, 'raw.events' AS \"table\" FROM events WHERE event_type IN ('click', 'view')",
@@ -240,6 +234,8 @@ SELECT user_id, pos, op_class, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY
     "ndjson": """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""",
     "debezium_emit": f"{CHANGES} SELECT version, op, CASE WHEN op <> 'd' THEN event_type END AS kind FROM ch",
     "generator_numeric": "SELECT range AS column_1, xor(range, 1) AS column_2, xor(range, 2) AS column_3, xor(range, 3) AS column_4 FROM range(5, 1005)",
-    "split_cover": "SELECT CAST(least(7, greatest(0, l_orderkey // 1000)) AS INTEGER) AS chunk, count(*) AS n FROM lineitem GROUP BY 1",
     "row_counts": "SELECT 'region' AS \"table\", count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders",
 }
+
+QUERIES |= queries_delivery.QUERIES
+ORACLES |= queries_delivery.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,35 +41,16 @@ def transfer_logs(spark: SparkSession, rows: int, start_row: int = 0) -> DataFra
     return spark.range(start_row, start_row + rows).select(*columns, *system)
 
 
-def _times(a: Column, constant: int) -> Column:
-    """a * constant modulo 2**64 without overflow, by 16-bit parts of the constant and 32-bit parts of a."""
-    low, high = a.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(a, 32)
-    out = F.lit(0).cast("bigint")
-    for part, shift in ((low, 0), (high, 32)):
-        for i in range(4):
-            digit, at = (constant >> (16 * i)) & 0xFFFF, 16 * i + shift
-            if at < 64:
-                out = _plus(out, F.shiftleft(part * digit, at))
-    return out
-
-
-def _plus(a: Column, b: Column) -> Column:
-    """a + b modulo 2**64, by halves."""
-    low = a.bitwiseAND(F.lit(0xFFFFFFFF)) + b.bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def mix64(row: Column) -> Column:
+    """The public 64-bit mixer of a row number. Spark's own products do not wrap around, numpy's do."""
 
+    def run(rows: pa.Array) -> pa.Array:
+        z = rows.to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(GOLDEN)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_A)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_B)
+        return pa.array((z ^ (z >> np.uint64(31))).view(np.int64))
 
-def mix64(row: Column) -> Column:
-    """The public 64-bit mixer of a row number, in JVM expressions."""
-    z = _plus(row, F.lit(_signed(GOLDEN)))
-    z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), MIX_A)
-    z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), MIX_B)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    return F.arrow_udf(run, "bigint")(row)
 
 
 def hits(spark: SparkSession, rows: int, start_row: int = 0) -> DataFrame:

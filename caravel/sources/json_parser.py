@@ -218,7 +218,7 @@ def parse(messages: DataFrame, parser: JsonParser, passed: list[str] | None = No
     # A generator keeps the filters below from pulling the parse up, which would run it once for each.
     held = held.select("*", F.explode(F.array(error)).alias("_error"))
     if parser.on_error == "fail":
-        held = held.withColumn("_out", F.when(F.col("_error").isNull(), F.col("_out")).otherwise(F.raise_error("_error")))
+        held = held.withColumn("_out", F.when(F.col("_error").isNull(), F.col("_out")).otherwise(F.raise_error(F.col("_error"))))
         good, bad = held, held.where(F.lit(False))
     else:
         good, bad = held.where("_error is null"), held.where(F.col("_error").isNotNull() if parser.on_error == "dlq" else F.lit(False))

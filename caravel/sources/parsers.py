@@ -101,7 +101,7 @@ def parse_tskv(df: DataFrame, columns: dict[str, str] | tuple[Field, ...], value
     rest = [c for c in df.columns if c != value]
     names = [f.name for f in fields]
     if on_error == "fail":
-        held = held.withColumn("_out", F.when(F.col("_error").isNull(), F.col("_out")).otherwise(F.raise_error("_error")))
+        held = held.withColumn("_out", F.when(F.col("_error").isNull(), F.col("_out")).otherwise(F.raise_error(F.col("_error"))))
         return held.select(*rest, *[F.col("_out")[n].alias(n) for n in names])
     good = held.where("_error is null").select(*rest, *[F.col("_out")[n].alias(n) for n in names])
     if on_error == "drop":
