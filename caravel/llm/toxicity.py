@@ -185,6 +185,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     taken = Counter(v for *_, v in out)
     if len(taken) == 2:
         model.weights[-1] += math.log(share[1] / share[0]) - math.log(taken[1] / taken[0])
+    else:
+        model.weights = [0.0] * (len(model.weights) - 1) + [30.0 if taken[1] else -30.0]
     return model
 
 
@@ -193,7 +195,8 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The classifier is fitted on a bounded sample of labelled rows: per_class documents of each class with at most max_bytes bytes, never
     one whose crc32 of the id as text is divisible by 5. Null and empty texts count as one empty window; repeated rows get equal scores;
-    without labels of both classes all scores are 0.5. Texts of any length are scored by all their windows. Null ids and other columns pass
+    without labels of both classes all scores are next to that of the one
+    class, and next to 0 without any. Texts of any length are scored by all their windows. Null ids and other columns pass
     through; an empty table gives no rows. Documents that tie in the hash of their ids are chosen in the order of id and text hash.
     """
     model = learn(df, labels, id_col, text_col, label_col, per_class, max_bytes)
