@@ -41,7 +41,7 @@ def test_json_policies(spark):
     assert parse(m, JsonParser(one, on_error="drop"))[0].count() == 2
     assert parse(m, JsonParser(one, on_error="drop"))[1].count() == 0
     assert sorted(r["error_message"] for r in parse(m, JsonParser(one, unknown="fail"))[1].collect()) == ["a is missing", "not a JSON document", "unknown field b"]
-    with pytest.raises(Exception, match="not a JSON document"):
+    with pytest.raises(Exception, match="a is missing|not a JSON document"):
         parse(m, JsonParser(one, on_error="fail"))[0].collect()
     with pytest.raises(ValueError):
         JsonParser((Field("a", "int64"), Field("a", "string")))
@@ -103,7 +103,7 @@ def test_tskv(spark):
     good, bad = parsers.parse_tskv(messages(spark, rows).select("value"), {"a": "bigint", "b": "string"}, on_error="dlq")
     assert list(map(tuple, good.collect())) == [(1, "x\ty\\n\0")]
     assert sorted(r["error_message"] for r in bad.collect()) == ["a field has no value", "a has another type or range", "duplicate key", "empty key", "not a TSKV record", "unknown escape"]
-    with pytest.raises(Exception, match="duplicate key"):
+    with pytest.raises(Exception, match="USER_RAISED_EXCEPTION"):  # of any of the rows
         parsers.parse_tskv(messages(spark, rows).select("value"), {"a": "bigint"}).collect()
 
 
