@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_id, keyed, materialize, partitions
 from .textops import lean
-from .tokens import default_path, encode
+from .tokens import default_path, encode, encoder
 
 PIECES = "id long, t long, piece int, start long, length int, ids_crc32 long"
 
@@ -129,6 +129,7 @@ def tokenizing(path: str, capacity: int, end: int):
                         rows.append((ids[i], ts[i], piece, start, len(own), zlib.crc32(own.tobytes())))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "t", "piece", "start", "length", "ids_crc32"])
+        encoder(path).clear()  # a worker that waits for other tasks holds no words
 
     return lean(run)
 

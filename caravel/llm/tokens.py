@@ -14,7 +14,7 @@ import numpy as np
 from .textops import segments, spread, word_hashes, words
 
 #: Words that a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 #: Ends a piece; no plain word holds it.
 CLOSE = b"\x01"
 #: The tokenizer's own pieces of lower-case text, for plain words, which a line feed separates here.
@@ -70,11 +70,18 @@ class Words:
     """The ids of the words met so far, by the words' hashes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.plain = Tokenizer.from_file(path), _plain_encoder(path)
+        self.path, self.own, self.plain = path, None, _plain_encoder(path)
         self.clear()
 
+    @property
+    def tokenizer(self):
+        """Loaded for the first word that is not plain."""
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own
+
     def clear(self) -> None:
         self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
