@@ -118,6 +118,7 @@ def places(found: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 def tokenizing(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder(path).limit = 400_000
         for batch in batches:
             ids, ts = batch["id"].to_pylist(), batch["t"].to_pylist()
             rows = []

@@ -13,8 +13,8 @@ import numpy as np
 
 from .textops import segments, spread, word_hashes, words
 
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Words that a worker remembers, unless its encoder's limit says otherwise.
+REMEMBERED = 1_500_000
 #: Ends a piece; no plain word holds it.
 CLOSE = b"\x01"
 #: The tokenizer's own pieces of lower-case text, for plain words, which a line feed separates here.
@@ -70,7 +70,7 @@ class Words:
     """The ids of the words met so far, by the words' hashes."""
 
     def __init__(self, path: str):
-        self.path, self.own, self.plain = path, None, _plain_encoder(path)
+        self.path, self.own, self.plain, self.limit = path, None, _plain_encoder(path), REMEMBERED
         self.clear()
 
     @property
@@ -118,7 +118,7 @@ class Words:
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(all ids, ids of each word, hashes of the distinct words in order, which of them each word is) of the words of a chunk."""
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > self.limit:
             self.clear()
         distinct, index, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         i = np.searchsorted(self.keys, distinct)
