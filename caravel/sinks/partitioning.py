@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,35 +87,36 @@ def epochs(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = N
         part = F.floor((F.row_number().over(inner) - 1) / max_rows) if max_rows else F.lit(0)
         cut = stretches.withColumn("_part", part)
     else:
-        first = F.lit(None).cast("bigint")
-        state = F.struct(F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("bytes"), first.alias("t"))
         cost = (size if size is not None else F.lit(0)).cast("bigint")
-        packed = stretches.groupBy("topic", "partition", "_stretch").agg(F.sort_array(F.collect_list(F.struct(*[o.cast("bigint") for o in order], F.struct("*", cost.alias("_size")).alias("row")))).alias("rows_"))
-
-        def step(acc: Column, x: Column) -> Column:
-            s, r = acc["s"], x["row"]
-            full = F.lit(False)
-            if max_rows:
-                full = full | (s["rows"] + 1 > max_rows)
-            if max_bytes is not None:
-                full = full | (s["bytes"] + r["_size"] > max_bytes)
-            if record_ms is not None:
-                full = full | (s["t"].isNotNull() & (r[time] - s["t"] >= record_ms))
-            new = full & (s["rows"] > 0)
-            now = F.struct((s["part"] + new.cast("bigint")).alias("part"), F.when(new, 1).otherwise(s["rows"] + 1).cast("bigint").alias("rows"), F.when(new, r["_size"]).otherwise(s["bytes"] + r["_size"]).cast("bigint").alias("bytes"), F.when(new | s["t"].isNull(), r[time] if record_ms is not None else F.lit(0)).otherwise(s["t"]).cast("bigint").alias("t"))
-            return F.struct(now.alias("s"), F.concat(acc["parts"], F.array(now["part"])).alias("parts"))
-
-        start = F.struct(state.alias("s"), F.array().cast("array<bigint>").alias("parts"))
-        parts = F.aggregate("rows_", start, step, lambda a: a["parts"])
-        zipped = packed.select(F.inline(F.arrays_zip(F.col("rows_"), parts.alias("p"))))
-        rows_name, part_name = zipped.columns
-        names = [c for c in stretches.columns]
-        cut = zipped.select(*[F.col(f"{rows_name}.row.{c}").alias(c) for c in names], F.col(part_name).alias("_part"))
+        ordered = stretches.withColumns({"_size": cost, "_ms": F.col(time).cast("bigint") if record_ms is not None else F.lit(0).cast("bigint")})
+        ordered = ordered.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "_stretch", *order)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields), "_part long"])
+        cut = ordered.mapInArrow(_folded(max_rows, max_bytes, record_ms), schema).drop("_size", "_ms")
     numbered = cut.withColumn("epoch", (F.dense_rank().over(Window.partitionBy("topic", "partition").orderBy("_stretch", "_part")) - 1).cast("bigint"))
     first_of = Window.partitionBy("topic", "partition", "epoch")
     return numbered.withColumn("start_offset", F.min("offset").over(first_of)).drop("_stretch", "_part")
 
 
+def _folded(max_rows: int | None, max_bytes: int | None, record_ms: int | None):
+    """Appends the number of each row's object within its stretch to sorted rows; one state is held, whatever the size of a source partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, rows, held, first = None, 0, 0, 0, 0
+        for batch in batches:
+            out = []
+            keys = zip(*(batch[c].to_pylist() for c in ("topic", "partition", "_stretch")), strict=True)
+            for own, cost, ms in zip(keys, batch["_size"].to_pylist(), batch["_ms"].to_pylist(), strict=True):
+                if own != key:
+                    key, part, rows, held, first = own, 0, 0, 0, ms
+                elif (max_rows and rows + 1 > max_rows) or (max_bytes is not None and held + cost > max_bytes) or (record_ms is not None and ms - first >= record_ms):
+                    part, rows, held, first = part + 1, 0, 0, ms
+                rows, held = rows + 1, held + cost
+                out.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "_part"])
+
+    return run
+
+
 def object_key(prefix: str, table: str) -> Column:
     """prefix/table/path/topic+partition+start.json; longer ones than a store takes stop the job."""
     name = F.concat(component(F.col("topic"), "topic"), F.lit("+"), F.col("partition").cast("string"), F.lit("+"), F.col("start_offset").cast("string"), F.lit(".json"))
