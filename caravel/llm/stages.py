@@ -21,9 +21,10 @@ def _with_key(docs: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with a score of one half or more; documents without a text have nothing toxic and stay."""
+    """Rejects documents with a score of one half or more; documents without a text have nothing toxic and stay. A score of one half to the last
+    bit is that of all documents where labels of both classes are missing: nothing is known there, and nothing is rejected."""
     scored = toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where((F.col(SCORE) < 0.5) | (F.coalesce(F.octet_length("text"), F.lit(0)) == 0)).drop(SCORE)
+    return scored.where((F.col(SCORE) <= 0.5) | (F.coalesce(F.octet_length("text"), F.lit(0)) == 0)).drop(SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
