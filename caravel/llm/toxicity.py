@@ -8,6 +8,7 @@ one, at its largest windows and on the whole, is calibrated to a probability by
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 from .common import keyed, materialize
 
 GRAM = 5
+#: Occurrences of a d-gram in one document that count.
+OFTEN = 4
 WINDOW, STEP = 48, 32
 LEVEL = 3
 #: Savings that count.
-LEVELS = (4, 5, 6, 7, 8)
+LEVELS = (2, 3, 4, 5, 6, 7, 8)
+#: Features of a text.
+SAVED = 4 + len(LEVELS)
 #: Bytes of each dictionary's content.
 CONTENT = 2048
 
@@ -50,13 +55,15 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
-def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
+def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """d-grams, the number of texts that hold each, and the number of times they do, of which OFTEN in one text count at most."""
+    found = [np.unique(_grams(t), return_counts=True) for t in texts]
+    keys, which = np.unique(np.concatenate([*(k for k, _ in found), np.zeros(0, np.uint64)]), return_inverse=True)
+    times = np.concatenate([*(np.minimum(n, OFTEN) for _, n in found), np.zeros(0, np.int64)])
+    return keys, np.bincount(which, minlength=len(keys)), np.bincount(which, weights=times, minlength=len(keys))
 
 
-def _look_up(grams: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    keys, counts = table
+def _look_up(grams: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(grams))
     i = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
@@ -64,24 +71,40 @@ def _look_up(grams: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def train_dictionary(own: list[bytes], other: list[bytes], contrast: float) -> bytes:
-    """Segments of own between d-grams that are in 3 % of its documents at least and `contrast` times more frequent than in other.
+    """Segments of own between d-grams that are in 3 % of its documents at least and occur `contrast` times more often than in other.
 
-    Two such d-grams make one segment if no more than GRAM others start between them.
+    Two such d-grams make one segment if no more than GRAM others start between them. Segments are taken by coverage: the next one is that whose
+    d-grams, without those of the segments before it, are in most documents for its length. So the forms of one frequent word do not fill the
+    content, and what is telling in a small part of the documents only, such as one language, has its place.
     """
-    mine, theirs = _frequencies(own), _frequencies(other)
+    (keys, mine, times), (others, _, theirs) = _frequencies(own), _frequencies(other)
+    telling = (mine >= 0.03 * len(own)) & (times / max(1, len(own)) >= contrast * (_look_up(keys, others, theirs) + 0.5) / max(1, len(other)))
     found: Counter[bytes] = Counter()
     for t in own:
-        g = _grams(t)
-        f = _look_up(g, mine) / max(1, len(own))
-        good = (f >= 0.03) & (f >= contrast * (_look_up(g, theirs) + 0.5) / max(1, len(other)))
-        at = np.flatnonzero(good)
+        at = np.flatnonzero(_look_up(_grams(t), keys, telling))
         if len(at):
             new = np.flatnonzero(np.append(True, np.diff(at) > GRAM))
             found.update({t[a : b + GRAM][:64] for a, b in zip(at[new].tolist(), at[np.append(new[1:], len(at)) - 1].tolist(), strict=True)})
+    worth = dict(zip(keys[telling].tolist(), mine[telling].tolist(), strict=True))
+    held = {s: {g for g in _grams(s).tolist() if g in worth} for s in found}
+
+    def gain(s: bytes) -> float:
+        return sum(worth[g] for g in held[s] if g not in covered) / (len(s) + 1)
+
+    covered: set[int] = set()
+    todo = [(-gain(s), -n, s) for s, n in found.items()]
+    heapq.heapify(todo)
     out = b""
-    for segment, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if segment not in out and len(out) + len(segment) <= CONTENT:
-            out = segment + b" " + out
+    while todo:
+        before, n, s = heapq.heappop(todo)
+        now = -gain(s)
+        if now == 0 or len(out) + len(s) >= CONTENT:
+            continue
+        if now > before:  # others have covered a part since
+            heapq.heappush(todo, (now, n, s))
+            continue
+        out = s + b" " + out
+        covered |= held[s]
     return out.rjust(16, b"\n")
 
 
@@ -104,10 +127,11 @@ def savings(text: bytes, both) -> np.ndarray:
 
 
 def features(saved: np.ndarray, rates: list[float]) -> list[float]:
-    """The three best windows, and how many more windows save 4, 5, 6, 7 and 8 bytes than the ordinary rates let expect, in deviations."""
+    """What all windows save, in deviations, the three best windows, and how many more windows save 2 to 8 bytes and more than the ordinary rates let expect, in deviations."""
     top = np.sort(np.append(saved, [0, 0, 0]))[::-1][:3]
     n = len(saved)
-    return [*(float(min(x, 10)) for x in top), *(min(8.0, (int((saved >= k).sum()) - r * n) / math.sqrt(r * n + 0.3)) for k, r in zip(LEVELS, rates, strict=True))]
+    whole = float(np.clip(saved, -10, 10).sum()) / math.sqrt(n)
+    return [max(-20.0, min(20.0, whole)), *(float(min(x, 10)) for x in top), *(min(8.0, (int((saved >= k).sum()) - r * n) / math.sqrt(r * n + 0.3)) for k, r in zip(LEVELS, rates, strict=True))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -130,15 +154,15 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     if len({y for _, y in a}) < 2 or len({y for _, y in b}) < 2:
         a = b = rows
     if len({y for _, y in a}) < 2:
-        return Model(b"\n" * 16, b"\n" * 16, [0.0] * 5, [0.0] * 9, [0.0] * 8, [1.0] * 8)
+        return Model(b"\n" * 16, b"\n" * 16, [0.0] * len(LEVELS), [0.0] * (SAVED + 1), [0.0] * SAVED, [1.0] * SAVED)
     toxic, ordinary = [t.lower() for t, y in a if y], [t.lower() for t, y in a if not y]
     plain = train_dictionary(ordinary, toxic, 0.0)  # toxic texts are written in the same language: only the contrast differs
-    model = Model(plain + train_dictionary(toxic, ordinary, 8.0), plain, [0.0] * 5, [0.0] * 9, [0.0] * 8, [1.0] * 8)
+    model = Model(plain + train_dictionary(toxic, ordinary, 8.0), plain, [0.0] * len(LEVELS), [0.0] * (SAVED + 1), [0.0] * SAVED, [1.0] * SAVED)
     both = compressors(model)
     saved, y = [savings(t, both) for t, _ in b], np.array([y for _, y in b] or [0], float)
     usual = np.concatenate([s for s, v in zip(saved, y, strict=False) if not v] or [np.zeros(1)])
     model.rates = [float((usual >= k).mean()) for k in LEVELS]
-    x = np.array([features(s, model.rates) for s in saved] or [[0.0] * 8])
+    x = np.array([features(s, model.rates) for s in saved] or [[0.0] * SAVED])
     center, scale = x.mean(0), x.std(0) + 1e-6
     model.center, model.scale = center.tolist(), scale.tolist()
     model.weights = logistic((x - center) / scale, y).tolist()

@@ -448,3 +448,39 @@ def test_license_scan_compares_long_texts(spark):
     assert all(len(rows[i][2]) > 4000 for i in (0, 2, 4))
     assert [got[i]["is_license_file"] for i in range(1, 7)] == [True, False, True, False, False, False]
     assert [got[i]["effective_license"] for i in (2, 4, 6)] == ["Apache-2.0", "Long-1.0", None]
+
+
+def test_toxic_dictionary_covers_rare_forms():
+    """The contexts of one frequent word must not crowd out a root that a tenth of the toxic texts hold, and that a few others hold once."""
+    from caravel.llm import toxicity as module
+
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    rare = lambda: "vequ" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    prose = lambda: [word() for _ in range(60)]
+    own, other = [], []
+    for i in range(600):
+        w = prose()
+        for _ in range(5):
+            w[rng.randrange(60)] = rng.choice(["worthless", "pathetic", "disgusting"]) if i % 10 else rare()
+        own.append(" ".join(w).encode())
+    for i in range(1200):
+        w = prose()
+        if i % 60 == 0:
+            w[rng.randrange(60)] = rare()
+        other.append(" ".join(w).encode())
+    content = module.train_dictionary(own, other, 8.0)
+    assert all(x in content for x in (b"worthless", b"pathetic", b"disgusting")) and b" vequ" in content
+    assert len(content) <= module.CONTENT
+
+
+def test_toxicity_finds_toxic_documents_of_every_kind(spark):
+    """Held-out documents of sf0.1: area under the curve 0.82 at least; it was 0.76 while few segments filled the dictionary."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    rows = toxicity(docs, labels).where(held_out).join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null").collect()
+    bad, good = [r[SCORE] for r in rows if r["toxic"]], [r[SCORE] for r in rows if not r["toxic"]]
+    order = np.argsort(np.argsort(np.array(bad + good), kind="stable")) + 1
+    assert (order[: len(bad)].sum() - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(good)) >= 0.82
+    assert np.mean(np.array(good) < 0.5) >= 0.98
