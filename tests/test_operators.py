@@ -25,6 +25,29 @@ def test_sql_gate(spark):
     assert run_sql(df, "SELECT weight % 0 AS rest FROM input").dtypes == [("rest", "bigint")]  # planned, not run
 
 
+@pytest.mark.parametrize(
+    "sql, split",
+    [
+        ("SELECT g, count(DISTINCT x) + 1 AS d, approx_percentile(x, 0.5) AS m, sum(x) AS s FROM input GROUP BY g", True),
+        ("SELECT G AS k, concat(g, '!') AS loud, count( DISTINCT x ), array_sort(collect_list(x) FILTER (WHERE x > 8)) AS l FROM input WHERE x > 1 OR g IS NULL GROUP BY g", True),
+        ("SELECT x % 3 AS r, median(x) AS m, sum(DISTINCT x) / count(DISTINCT x) AS a FROM input GROUP BY x % 3, g", True),
+        ("SELECT approx_count_distinct(x) AS n, count(DISTINCT g, x) AS d FROM input WHERE x > 100", True),
+        ("SELECT g, count(DISTINCT x) AS d, count(*) AS n FROM input GROUP BY g", False),
+        ("SELECT g AS h, count(DISTINCT x) AS d, median(x) AS m FROM input GROUP BY h", False),
+        ("SELECT g, count(DISTINCT x) AS d, median(x) AS m FROM input GROUP BY ROLLUP (g)", False),
+        ("SELECT g, count(DISTINCT x) AS d, median(x) AS m FROM input GROUP BY g HAVING count(*) > 6", False),
+        ("SELECT count(DISTINCT g) AS d, median(x) AS m FROM (SELECT g, x + 0 * rand() AS x FROM input)", False),
+    ],
+)
+def test_sketches_beside_distinct_values(spark, sql, split):
+    """No group of a distinct value holds a sketch; rows, names and types are those of the query as it stands."""
+    df = spark.createDataFrame([("a" if i % 4 else None, i % 11) for i in range(40)] + [("b", None)], "g string, x long")
+    got = run_sql(df, sql)
+    whole = spark.sql(sql.replace("input", "{df}"), df=df)
+    assert ("JOIN" in got._jdf.queryExecution().analyzed().toString().upper()) is split
+    assert got.dtypes == whole.dtypes and sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_sql_gate_reaches_no_further_than_its_relations(spark):
     df = spark.range(4)
     spark.range(9).createOrReplaceTempView("input")
