@@ -7,9 +7,10 @@ are so many; windows go through masked attention in batches. A word's probabilit
 the word's own share of the training tokens, none for a word that no training document holds. Both parts sum to one over all words
 and the end at most, so the score is a probability of the text.
 
-What is learned grows with the input. All training documents are counted. The attention weights start on the driver from START windows at
-most and then learn from every window of one training document in SAMPLED (more of small inputs), of any length, where the windows are: tasks
-train apart from one another and their weights are averaged. Documents are scored in blocks: each block asks for the counts of its own words,
+All that is learned is learned from all training documents. They are counted. The attention weights start on the driver from START windows at
+most and then learn from every window of every training document, of any length, where the windows are: tasks train apart from one another and
+their weights are averaged. The weight of the mixture is the one of GRID that makes all tokens of all training documents likeliest, no token
+counting itself: texts are scored with each weight, and the sums tell which score stays. Documents are scored in blocks: each block asks for the counts of its own words,
 so no task and no driver holds all words.
 """
 
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize
-from .textops import LOWER, chunks, lean, mix, powers, release, segments, word_hashes, words
+from .common import NULL_ID, discard, keyed, materialize
+from .textops import LOWER, lean, mix, powers, release, segments, word_hashes, words
 from .tokens import default_path, encoder
 
 LENGTH, STRIDE, WIDTH, HIDDEN = 128, 112, 16, 32
@@ -37,12 +38,8 @@ CLASSES = BRANCHES * BRANCHES
 OWN = CLASSES - BRANCHES
 IDS = 49_408
 END = 49_407
-#: One training document of so many teaches the attention weights, and more where that gives less than START windows.
-SAMPLED = 64
-#: Windows from which the driver starts the weights, and passages by which it fits the mixture.
-START, PASSAGES = 10_000, 300
-#: Words of a passage.
-PASSAGE = 200
+#: Windows from which the driver starts the weights, and windows of one step of the tasks that go on from there.
+START, TAUGHT = 10_000, 16
 #: Bytes of text whose words ask for their counts, and are scored, together; a longer document is taken alone.
 TOGETHER = 16 << 20
 #: Bytes of text whose words are taken at a time.
@@ -58,7 +55,7 @@ class Model:
     class_of: np.ndarray  # of each id
     share: np.ndarray  # log10 of an id's share in its class
     weights: dict[str, np.ndarray]
-    mix: float = 0.6  # of the words' shares
+    mix: float | None = 0.6  # of the words' shares; None: chosen as texts are scored
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -99,7 +96,7 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.
 
 def backward(w: dict[str, np.ndarray], cache: tuple, dz: np.ndarray) -> dict[str, np.ndarray]:
     x, before, e, q, k, v, p, total, c, y, h = cache
-    p = p / total
+    p /= total
     flat = lambda a: a.reshape(-1, a.shape[-1])
     g = {"b": flat(h).T @ flat(dz)}
     dh = (dz @ w["b"].T) * (h > 0)
@@ -107,8 +104,9 @@ def backward(w: dict[str, np.ndarray], cache: tuple, dz: np.ndarray) -> dict[str
     dy = dz + dh @ w["a"].T
     g["o"] = flat(c).T @ flat(dy)
     dc = dy @ w["o"].T
-    dp, dv = dc @ v.transpose(0, 2, 1), p.transpose(0, 2, 1) @ dc
-    ds = p * (dp - (dp * p).sum(-1, keepdims=True))
+    ds, dv = dc @ np.ascontiguousarray(v.transpose(0, 2, 1)), p.transpose(0, 2, 1) @ dc
+    ds -= (dc * c).sum(-1, keepdims=True)  # the sum over places of dp * p
+    ds *= p
     dq, dk = ds @ k / np.float32(np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
     g |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
     de = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
@@ -131,7 +129,7 @@ def powered(x: np.ndarray) -> np.ndarray:
 
 def softmax(logits: np.ndarray) -> np.ndarray:
     p = powered(logits)
-    p /= p.sum(1, keepdims=True) + np.float32(1e-30)
+    p /= (p @ np.ones(p.shape[1], np.float32) + np.float32(1e-30))[:, None]
     return p
 
 
@@ -162,21 +160,30 @@ def class_log(w: dict[str, np.ndarray], z: np.ndarray, classes: np.ndarray) -> n
 def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the places of windows whose target y is a class."""
     z, cache = forward(w, x)
-    i, j = np.nonzero(y < CLASSES)
-    own, classes, scale = z[i, j], y[i, j], np.float32(1 / max(1, len(i)))
+    at = np.flatnonzero(y.ravel() < CLASSES)
+    classes = y.ravel()[at]
+    o = np.argsort((classes // BRANCHES).astype(np.int16), kind="stable")
+    at, classes = at[o], classes[o]
+    edges = np.searchsorted(classes // BRANCHES, np.arange(BRANCHES + 1))
+    own, scale = z.reshape(-1, WIDTH).take(at, axis=0), np.float32(1 / max(1, len(at)))
     g = {"out": np.zeros_like(w["out"]), "bias": np.zeros_like(w["bias"])}
     d = softmax(own @ w["top"] + w["top_bias"])
     d[np.arange(len(d)), classes // BRANCHES] -= 1
     d *= scale
     g["top"], g["top_bias"], dz = own.T @ d, d.sum(0, keepdims=True), d @ w["top"].T
-    for b, rows in branches(classes):
-        d = softmax(own[rows] @ w["out"][b] + w["bias"][b])
-        d[np.arange(len(d)), classes[rows] % BRANCHES] -= 1
-        d *= scale
-        g["out"][b], g["bias"][b] = own[rows].T @ d, d.sum(0)
-        dz[rows] += d @ w["out"][b].T
+    logits = np.empty((len(at), BRANCHES), np.float32)
+    spans = [(b, lo, hi) for b, lo, hi in zip(range(BRANCHES), edges[:-1].tolist(), edges[1:].tolist(), strict=True) if lo < hi]
+    for b, lo, hi in spans:
+        np.matmul(own[lo:hi], w["out"][b], out=logits[lo:hi])
+        logits[lo:hi] += w["bias"][b]
+    d = softmax(logits)
+    d[np.arange(len(d)), classes % BRANCHES] -= 1
+    d *= scale
+    for b, lo, hi in spans:
+        g["out"][b], g["bias"][b] = own[lo:hi].T @ d[lo:hi], d[lo:hi].sum(0)
+        dz[lo:hi] += d[lo:hi] @ w["out"][b].T
     full = np.zeros_like(z)
-    full[i, j] = dz
+    full.reshape(-1, WIDTH)[at] = dz
     return g | backward(w, cache, full)
 
 
@@ -290,8 +297,8 @@ def _counted(path: str):
     return lean(run)
 
 
-def _sampled(path: str, class_of: np.ndarray, per_passage: int):
-    """Windows (h: a hash to choose by, x: classes) of streams of whole documents, and passages of which one in per_passage is kept."""
+def _windows(path: str, class_of: np.ndarray):
+    """Windows (h: a hash to order by, x: classes) of streams of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,16 +313,8 @@ def _sampled(path: str, class_of: np.ndarray, per_passage: int):
                 full = np.full(n * LENGTH + 1, CLASSES, np.uint16)
                 full[: len(stream)] = stream
                 x = np.lib.stride_tricks.sliding_window_view(full, LENGTH + 1)[::LENGTH]
-                hashes = mix((x.astype(np.uint64) * powers(LENGTH)[0]).sum(1, dtype=np.uint64))
-                passages, chosen_by = [], []
-                for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    for k in range(i, j, PASSAGE):
-                        own = data[starts[k] : ends[min(j, k + PASSAGE) - 1]].tobytes()
-                        if (h := zlib.crc32(own)) % per_passage == 0:
-                            passages.append(own.decode("utf-8", "replace")), chosen_by.append(h)
-                h = np.append((hashes >> np.uint64(2)).astype(np.int64), np.array(chosen_by, np.int64))
-                rows = [r.tobytes() for r in np.ascontiguousarray(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([*rows, *[None] * len(passages)], pa.binary()), pa.array([*[None] * len(rows), *passages], pa.string())], names=["h", "x", "passage"])
+                h = (mix((x.astype(np.uint64) * powers(LENGTH)[0]).sum(1, dtype=np.uint64)) >> np.uint64(2)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())], names=["h", "x"])
 
     return lean(run)
 
@@ -341,7 +340,7 @@ def _apart(weights: np.ndarray):
         def learn() -> None:
             nonlocal w, n, held
             x = np.concatenate(held)
-            w, n, held = train(w, x, max(1, len(x) // 16), rate=0.002), n + len(x), []
+            w, n, held = train(w, x, -(-len(x) // TAUGHT), TAUGHT, rate=0.002), n + len(x), []
 
         for batch in batches:
             held.append(np.frombuffer(b"".join(batch["x"].to_pylist()), np.uint16).astype(np.int64).reshape(-1, LENGTH + 1))
@@ -365,9 +364,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "w"])
 
 
-def averaged(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
+def averaged(found: DataFrame, weights: np.ndarray) -> np.ndarray:
     """What tasks learn from all windows, averaged; the driver gets 16 sets of weights at most."""
-    own = sample.where("x is not null").select("x").mapInArrow(_apart(weights), "part int, n long, w binary")
+    own = found.select("x").mapInArrow(_apart(weights), "part int, n long, w binary")
     rows = own.repartition(16, "part").mapInArrow(_summed, "n long, w binary").collect()
     return sum(np.frombuffer(r["w"], np.float64) for r in rows) / sum(r["n"] for r in rows) if rows else weights
 
@@ -403,9 +402,9 @@ def _blocks(together: int):
     return lean(run)
 
 
-def mixture(attention: np.ndarray, share: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of the mixture of each word's attention probability (given as log10) and its share, which is 0 for unknown words."""
-    return np.log10(weight * share + (1 - weight) * 10.0 ** np.maximum(attention, -280.0) + 1e-300)
+def mixture(spelled: np.ndarray, share: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of the mixture of each word's probability by attention and its share, which is 0 for unknown words."""
+    return np.log(weight * share + (1 - weight) * spelled + 1e-300) / np.log(10)
 
 
 def by_word(model: Model, texts: pa.Array, path: str, token: np.ndarray, share: np.ndarray, end: bool = True):
@@ -430,82 +429,76 @@ def by_word(model: Model, texts: pa.Array, path: str, token: np.ndarray, share:
 
 def _scored(model: Model, path: str, below: float):
     """Per document of a block, given the counts of the block's words: its words and end, how many of them are known, and the sums over them of
-    log10 of the base's shares and of the mixture of attention and shares."""
+    log10 of the base's shares and of the mixtures of attention and shares, for each weight. The first document has the sums over all tokens of
+    the block's training documents too, each without its own count, by which the weight is chosen."""
+    weights = GRID if model.mix is None else (model.mix,)
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         token = counts["token"].to_numpy().view(np.uint64)
         o = np.argsort(token)
-        token, share, floor = token[o], (counts["c"].to_numpy()[o] + 0.1) / 10**below, 0.1 / 10**below
-        n, known, base, total = (np.zeros(docs.num_rows) for _ in range(4))
+        c = counts["c"].to_numpy()[o]
+        token, share, floor = token[o], (c + 0.1) / 10**below, 0.1 / 10**below
+        others = np.where(c > 1, (c - 0.9) / 10**below, 0.0)
+        taught = np.array([zlib.crc32(b"" if i == NULL_ID else str(i).encode()) % 10 != 0 for i in docs["id"].to_pylist()])
+        n, known, base = (np.zeros(docs.num_rows) for _ in range(3))
+        totals, chosen_by = np.zeros((len(weights), docs.num_rows)), np.zeros(len(weights))
         for row, at, attention in by_word(model, docs["text"].combine_chunks(), path, token, share):
             met = at >= 0
             uni = np.where(met, share[at] if len(share) else 0.0, 0.0)
-            for sums, x in ((n, None), (known, met), (base, np.log10(np.maximum(uni, floor))), (total, mixture(attention, uni, model.mix))):
+            spelled = np.exp(np.maximum(attention, -280.0) * np.log(10))
+            for sums, x in ((n, None), (known, met), (base, np.log10(np.maximum(uni, floor)))):
                 sums += np.bincount(row, weights=x, minlength=docs.num_rows)
+            for sums, m in zip(totals, weights, strict=True):
+                sums += np.bincount(row, weights=mixture(spelled, uni, m), minlength=docs.num_rows)
+            if model.mix is None:
+                own = taught[row]
+                left, spelled = np.where(met, others[at] if len(others) else 0.0, 0.0)[own], spelled[own]
+                chosen_by += [mixture(spelled, left, m).sum() for m in weights]
         release()
-        return pa.table({"id": docs["id"], "t": docs["t"], "n": pa.array(n.astype(np.int64)), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(total)})
+        best = [chosen_by.tolist() if model.mix is None else None, *[None] * (docs.num_rows - 1)][: docs.num_rows]
+        return pa.table({"id": docs["id"], "t": docs["t"], "n": pa.array(n.astype(np.int64)), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "scores": pa.array(totals.T.tolist(), pa.list_(pa.float64())), "fit": pa.array(best, pa.list_(pa.float64()))})
 
     return run
 
 
-def fit(model: Model, passages: pa.Array, path: str, counts: DataFrame, below: float, candidates: list[np.ndarray]) -> None:
-    """Takes the weights that score passages best, and the likeliest mixture of a grid. A word of a passage does not count itself."""
-    found = [word_hashes(data, *words(data, bounds)[:2], lower=True) for _, _, data, bounds in chunks(passages)]
-    if not found:
-        return
-    asked = pa.table({"token": np.unique(np.concatenate(found)).view(np.int64)})
-    own = counts.join(F.broadcast(counts.sparkSession.createDataFrame(asked)), "token", "left_semi").toArrow()  # of PASSAGES passages
-    token, c = own["token"].to_numpy().view(np.uint64), own["c"].to_numpy()
-    o = np.argsort(token)
-    token, c = token[o], c[o]
-    best = None
-    for weights in candidates:
-        model.weights = shaped(weights)
-        parts = list(by_word(model, passages, path, token, c, end=False))
-        attention, at = np.concatenate([p[2] for p in parts]), np.concatenate([p[1] for p in parts])
-        if best is None or attention.sum() > best[0]:
-            best = (attention.sum(), weights, attention, at)
-    _, weights, attention, at = best
-    model.weights = shaped(weights)
-    uni = np.where((at >= 0) & (c[at] > 1), (c[at] - 0.9) / 10**below, 0.0)
-    model.mix = max(GRID, key=lambda m: mixture(attention, uni, m).sum())
+def best_weight(out: DataFrame) -> int:
+    """Place in GRID of the weight that all training documents are likeliest with; the one nearest to 0.6 where there are none."""
+    sums = {r["at"]: r["s"] for r in out.where("fit is not null").select(F.posexplode("fit").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("s")).collect()}
+    return max(range(len(GRID)), key=lambda k: (sums.get(k, 0.0), -abs(GRID[k] - 0.6)))
 
 
 def training(docs: DataFrame) -> DataFrame:
     return docs.where(F.pmod(F.crc32(F.coalesce(F.when(F.col("id") != -(2**63), F.col("id")).cast("string"), F.lit(""))), F.lit(10)) != 0)
 
 
-def learn(docs: DataFrame, counts: DataFrame, ids: np.ndarray, below: float, path: str, sampled: int) -> Model:
-    """The attention model and the mixture, from training documents (see the head of this file)."""
+def learn(docs: DataFrame, counts: DataFrame, ids: np.ndarray, below: float, path: str) -> Model:
+    """The attention model, from all training documents (see the head of this file); its mixture is chosen as texts are scored."""
     class_of, share = vocabulary(ids)
-    model = Model(class_of, share, biased(initial(), class_of, ids))
+    model = Model(class_of, share, biased(initial(), class_of, ids), None)
     size = training(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    part = min(1.0, 1 / sampled + START * LENGTH / max(1.0, 0.25 * size))
-    chosen_docs = training(docs).where(F.pmod(F.xxhash64("t", "id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    per_passage = max(1, int(part * size / (6 * PASSAGE) / (2 * PASSAGES)))
-    sample = materialize(chosen_docs.select("text").mapInArrow(_sampled(path, class_of, per_passage), "h long, x binary, passage string"), "sample")
-    n = {r["w"]: r["n"] for r in sample.groupBy(F.col("x").isNotNull().alias("w")).agg(F.count("*").alias("n")).collect()}
-
-    def first(column: str, count: int, limit: int) -> list:
-        # Tasks send twice the limit together at most, in expectation.
-        rows = sample.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(min(1.0, 2 * limit / max(1, count)) * (1 << 30))))
-        return [r[column] for r in rows.orderBy(F.xxhash64("h"), column).limit(limit).select(column).collect()]
-
-    x = first("x", n.get(True, 0), START)
+    # The start is read from documents that hold twice START windows or more; the rest of them, and all others, are read afterwards.
+    part = min(1.0, START * LENGTH / max(1.0, 0.25 * size))
+    some = training(docs).where(F.pmod(F.xxhash64("t", "id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    found = lambda d: d.select("text").mapInArrow(_windows(path, class_of), "h long, x binary")
+    sample = materialize(found(some), "start")
+    n = sample.count()
+    # Tasks send twice the limit together at most, in expectation.
+    rows = sample.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(min(1.0, 2 * START / max(1, n)) * (1 << 30)))
+    x = [r["x"] for r in rows.orderBy(F.xxhash64("h"), "x").limit(START).select("x").collect()]
+    discard(sample)
     if x:
         x = np.frombuffer(b"".join(x), np.uint16).astype(np.int64).reshape(-1, LENGTH + 1)
-        weights = flat(train(model.weights, x, max(200, min(2400, len(x) // 4))))
-        candidates = [weights, averaged(sample, weights)] if n[True] > START else [weights]
-        model.weights = shaped(weights)
-        fit(model, pa.array(first("passage", n.get(False, 0), PASSAGES), pa.string()), path, counts, below, candidates)
+        model.weights = train(model.weights, x, max(200, min(2400, len(x) // 4)))
+        if part < 1 or n > len(x):
+            model.weights = shaped(averaged(found(training(docs)), flat(model.weights)))
     return model
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, sampled: int = SAMPLED) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(id, t, n_tokens, n_known, train_tokens, base_score, score): one row for each distinct (id, text) of df.
 
-    Training rows are those whose crc32 of the id as text is not divisible by 10; word and id counts come from all of them, attention
-    weights from one of `sampled` of them, and more of small inputs. Null texts are empty: one end token. Null ids count as an empty id
+    Training rows are those whose crc32 of the id as text is not divisible by 10; word and id counts, attention weights
+    and the weight of the mixture come from all of them. Null texts are empty: one end token. Null ids count as an empty id
     text; other columns are ignored; an empty table gives no rows. A row that is there twice trains twice. A long text is scored in
     parts of SLICE bytes or more, cut at white space, each with no context from before it. Ids of equal count are ordered by number.
     """
@@ -519,12 +512,17 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     for r in both.where("kind = 1").collect():
         ids[r["token"]] = r["c"]
     below = float(np.log10(size["n"] + 0.1 * (size["v"] + 1)))
-    model = learn(docs, counts, ids, below, path, sampled)
+    model = learn(docs, counts, ids, below, path)
     rows = materialize(docs.mapInArrow(_blocks(TOGETHER), "block long, id long, t long, text string"), "blocks")
     asked = rows.where("text is null").select(F.col("block").alias("own"), F.col("id").alias("token")).join(counts, "token")
     texts = rows.where("text is not null")
-    out = texts.groupBy("block").cogroup(asked.groupBy("own")).applyInArrow(_scored(model, path, below), "id long, t long, n long, known long, base double, score double")
-    out = out.groupBy("id", "t").agg(F.first(F.struct("n", "known", "base", "score")).alias("r"))
+    out = texts.groupBy("block").cogroup(asked.groupBy("own")).applyInArrow(_scored(model, path, below), "id long, t long, n long, known long, base double, scores array<double>, fit array<double>")
+    best = 0
+    if model.mix is None:
+        out = materialize(out, "scores")
+        discard(rows)
+        best = best_weight(out)
+    out = out.groupBy("id", "t").agg(F.first(F.struct("n", "known", "base", F.col("scores")[best].alias("score"))).alias("r"))
     return out.select("id", "t", F.col("r.n").alias("n_tokens"), F.col("r.known").alias("n_known"), F.lit(int(size["n"])).cast("long").alias("train_tokens"), F.col("r.base").alias("base_score"), F.col("r.score").alias("score"))
 
 

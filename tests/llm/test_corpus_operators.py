@@ -484,3 +484,41 @@ def test_toxicity_finds_toxic_documents_of_every_kind(spark):
     order = np.argsort(np.argsort(np.array(bad + good), kind="stable")) + 1
     assert (order[: len(bad)].sum() - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(good)) >= 0.82
     assert np.mean(np.array(good) < 0.5) >= 0.98
+
+
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """Every id of every training document is a target of the attention weights, and the mixture is the likeliest of all their tokens."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["the", "of", "cat", "mat", "stone", "river", f"x{rng.randrange(10**6)}"]) for _ in range(rng.choice([0, 3, 90, 700]))) for _ in range(60)]
+    taught = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    own = Tokenizer.from_file(default_path())
+    ids = lambda t: [*(own.encode(w, add_special_tokens=False).ids for w in t.split()), [language_model.END]]
+    learned, chosen = [], []
+    averaged, best = language_model.averaged, getattr(language_model, "best_weight", None)
+
+    def spied(found, weights):
+        learned.append(sum(int((np.frombuffer(r["x"], np.uint16)[1:] < CLASSES).sum()) for r in found.collect() if r["x"] is not None))
+        return averaged(found, weights)
+
+    monkeypatch.setattr(language_model, "averaged", spied)
+    monkeypatch.setattr(language_model, "START", 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert lm_scores(df).count() == len(texts)
+    assert learned == [sum(len(x) for t in taught for x in ids(t))]
+
+    model = Model(np.arange(IDS) % CLASSES, np.log10(np.full(IDS, 0.02)), initial(), None)
+    monkeypatch.setattr(language_model, "learn", lambda *_: model)
+    monkeypatch.setattr(language_model, "best_weight", lambda out: chosen.append(best(out)) or chosen[-1])
+    assert lm_scores(df).count() == len(texts)
+    count = Counter(w for t in taught for w in [*t.split(), None])
+    below = sum(count.values()) + 0.1 * (len(count) + 1)
+    sums = np.zeros(len(language_model.GRID))
+    for t in taught:
+        parts = ids(t)
+        flat = np.array([x for w in parts for x in w])
+        logs = place_logs(model.weights, model.class_of, flat) / np.log(10) + model.share[flat]
+        edges = np.append(0, np.cumsum([len(w) for w in parts]))
+        spelled = np.array([10 ** logs[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        left = np.array([(count[w] - 0.9) / below if count[w] > 1 else 0.0 for w in [*t.split(), None]])
+        sums += [np.log(m * left + (1 - m) * spelled).sum() for m in language_model.GRID]
+    assert chosen == [int(np.argmax(sums))]
