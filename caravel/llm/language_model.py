@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, discard, keyed, materialize
-from .textops import LOWER, lean, mix, powers, release, segments, word_hashes, words
+from .textops import LOWER, lean, mix, powers, release, segments, steady, word_hashes, words
 from .tokens import default_path, encoder
 
 LENGTH, STRIDE, WIDTH, HIDDEN = 128, 112, 16, 32
@@ -38,8 +38,15 @@ CLASSES = BRANCHES * BRANCHES
 OWN = CLASSES - BRANCHES
 IDS = 49_408
 END = 49_407
+#: Places of a window that attend together, and rows of a group of one branch.
+ROWS, GROUP = 32, 32
+LATER = np.tri(ROWS, dtype=np.float32)
+#: Of each class's row in a table of twice the width.
+PLACES = np.arange((CLASSES + 1) * 2 * WIDTH).reshape(CLASSES + 1, 2 * WIDTH)
 #: Windows from which the driver starts the weights, and windows of one step of the tasks that go on from there.
 START, TAUGHT = 10_000, 16
+#: Places whose classes are looked up together.
+SETTLED = 8192
 #: Bytes of text whose words ask for their counts, and are scored, together; a longer document is taken alone.
 TOGETHER = 16 << 20
 #: Bytes of text whose words are taken at a time.
@@ -72,8 +79,14 @@ def initial(seed: int = 5) -> dict[str, np.ndarray]:
     return w | {"out": g(BRANCHES, WIDTH, BRANCHES), "bias": np.zeros((BRANCHES, BRANCHES), np.float32)}
 
 
+#: Sizes of the weights of each kind, by name.
+SHAPES = {k: v.shape for k, v in sorted(initial().items())}
+
+
 def forward(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
-    """Hidden states of the places from skip on of windows of input classes; the cache for backward(), which needs skip 0."""
+    """Hidden states of the places from skip on of windows of input classes; the cache for backward(), which needs skip 0.
+
+    Places attend ROWS at a time, to keys no later than the last of them, so that what is met once more is still at hand."""
     n, size = x.shape
     before = np.concatenate([np.full((n, 1), CLASSES, x.dtype), x[:, :-1]], 1)
     e = w["emb"].take(x, axis=0)
@@ -84,39 +97,75 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.
     last = np.ascontiguousarray(e[:, skip:]) if skip else e
     flat = last.reshape(-1, WIDTH)
     q = (flat @ (w["q"] * np.float32(1 / np.sqrt(WIDTH)))).reshape(last.shape)
-    p = powered(q @ np.ascontiguousarray(k.transpose(0, 2, 1)))
-    p *= np.tri(size - skip, size, skip, dtype=np.float32)
-    total = p @ np.ones((size, 1), np.float32) + np.float32(1e-30)
-    c = (p @ v) / total
-    y = flat + c.reshape(-1, WIDTH) @ w["o"]
-    h = np.maximum(y @ w["a"], 0)
-    z = y + h @ w["b"]
-    return z.reshape(last.shape), (x, before, e, q, k, v, p, total, c, y.reshape(last.shape), h.reshape(*last.shape[:2], HIDDEN))
+    keys, c, inverse, held = np.ascontiguousarray(k.transpose(0, 2, 1)), np.empty_like(last), np.empty((*last.shape[:2], 1), np.float32), []
+    for lo, hi in spans(skip, size):
+        p = powered(q[:, lo - skip : hi - skip] @ keys[:, :, :hi])
+        p[:, :, lo:] *= LATER[: hi - lo, : hi - lo]
+        inverse[:, lo - skip : hi - skip, 0] = (p.reshape(-1, hi) @ np.ones(hi, np.float32)).reshape(n, -1)
+        np.matmul(p, v[:, :hi], out=c[:, lo - skip : hi - skip])
+        held.append(p)
+    inverse += np.float32(1e-30)
+    np.reciprocal(inverse, out=inverse)
+    c *= inverse
+    y = c.reshape(-1, WIDTH) @ w["o"]
+    y += flat
+    h = y @ w["a"]
+    np.maximum(h, 0, out=h)
+    z = h @ w["b"]
+    z += y
+    return z.reshape(last.shape), (x, e, q, k, v, held, inverse, c, y, h)
+
+
+def spans(skip: int, size: int) -> list[tuple[int, int]]:
+    return [(lo, min(lo + ROWS, size)) for lo in range(skip, size, ROWS)]
 
 
 def backward(w: dict[str, np.ndarray], cache: tuple, dz: np.ndarray) -> dict[str, np.ndarray]:
-    x, before, e, q, k, v, p, total, c, y, h = cache
-    p /= total
+    x, e, q, k, v, held, inverse, c, y, h = cache
+    n, size = x.shape
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"b": flat(h).T @ flat(dz)}
-    dh = (dz @ w["b"].T) * (h > 0)
-    g["a"] = flat(y).T @ flat(dh)
-    dy = dz + dh @ w["a"].T
-    g["o"] = flat(c).T @ flat(dy)
-    dc = dy @ w["o"].T
-    ds, dv = dc @ np.ascontiguousarray(v.transpose(0, 2, 1)), p.transpose(0, 2, 1) @ dc
-    ds -= (dc * c).sum(-1, keepdims=True)  # the sum over places of dp * p
-    ds *= p
-    dq, dk = ds @ k / np.float32(np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
-    g |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-    de = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    for name, at in (("emb", x), ("prev", before)):
-        o = np.argsort(at.ravel(), kind="stable")
-        own, begin = np.unique(at.ravel()[o], return_index=True)
-        g[name] = np.zeros_like(w[name])
-        g[name][own] = np.add.reduceat(flat(de)[o], begin)
+    dz = flat(dz)
+    g = {"b": h.T @ dz}
+    dh = dz @ w["b"].T
+    dh *= h > 0
+    g["a"] = y.T @ dh
+    dy = dh @ w["a"].T
+    dy += dz
+    g["o"] = flat(c).T @ dy
+    # One more column holds what every p of a row loses: the sum over places of dp * p.
+    dc, less = (dy @ w["o"].T).reshape(c.shape), np.empty((n, size, WIDTH + 1), np.float32)
+    dc *= inverse
+    less[:, :, :WIDTH] = dc
+    np.negative(np.einsum("ijk,ijk->ij", dc, c), out=less[:, :, WIDTH])
+    values = np.ones((n, WIDTH + 1, size), np.float32)
+    values[:, :WIDTH] = v.transpose(0, 2, 1)
+    dq = np.empty_like(q)
+    for (lo, hi), p in zip(reversed(spans(0, size)), reversed(held), strict=True):
+        ds = less[:, lo:hi] @ values[:, :, :hi]
+        ds *= p
+        np.matmul(ds, k[:, :hi], out=dq[:, lo:hi])
+        to_k, to_v = ds.transpose(0, 2, 1) @ q[:, lo:hi], p.transpose(0, 2, 1) @ dc[:, lo:hi]
+        if hi == size:  # the last places meet all keys
+            dk, dv = to_k, to_v
+        else:
+            dk[:, :hi] += to_k
+            dv[:, :hi] += to_v
+    dq *= np.float32(1 / np.sqrt(WIDTH))
+    dq, dk, dv, flat_e = flat(dq), flat(dk), flat(dv), flat(e)
+    g |= {"q": flat_e.T @ dq, "k": flat_e.T @ dk, "v": flat_e.T @ dv}
+    de = dy
+    for name, d in (("q", dq), ("k", dk), ("v", dv)):
+        de += d @ w[name].T
+    de = de.reshape(e.shape)
+    # A place's class is met by the place itself and by the next one.
+    both = np.zeros((n, size, 2 * WIDTH), np.float32)
+    both[:, :, :WIDTH], both[:, :-1, WIDTH:] = de, de[:, 1:]
+    sums = np.zeros((CLASSES + 1, 2 * WIDTH), np.float32)
+    np.add.at(sums.ravel(), PLACES.take(x.ravel(), axis=0).ravel(), both.ravel())
+    g["emb"], g["prev"] = sums[:, :WIDTH], sums[:, WIDTH:]
+    g["prev"][CLASSES] += de[:, 0].sum(0)
     g["pos"] = np.zeros_like(w["pos"])
-    g["pos"][: x.shape[1]] = de.sum(0)
+    g["pos"][:size] = de.sum(0)
     return g
 
 
@@ -127,64 +176,89 @@ def powered(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    p = powered(logits)
-    p /= (p @ np.ones(p.shape[1], np.float32) + np.float32(1e-30))[:, None]
-    return p
+def total(p: np.ndarray, axis: int) -> np.ndarray:
+    return (np.ones(len(p), np.float32) @ p if axis == 0 else p @ np.ones(p.shape[1], np.float32)) + np.float32(1e-30)
 
 
-def chosen(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax at `own` of each row."""
-    out = np.minimum(logits[np.arange(len(own)), own], np.float32(60))
-    return out - np.log(powered(logits) @ np.ones(logits.shape[1], np.float32) + np.float32(1e-30))
+def softmax(logits: np.ndarray, scale: np.ndarray, axis: int) -> np.ndarray:
+    """In place, along an axis, each times its scale."""
+    p = powered(logits)
+    p *= np.expand_dims(scale / total(p, axis), axis)
+    return p
 
 
-def branches(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(branch, rows of it) of the branches that are there."""
-    of = (classes // BRANCHES).astype(np.int16)
-    o = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[o], np.arange(BRANCHES + 1))
-    for b in range(BRANCHES):
-        if edges[b] < edges[b + 1]:
-            yield b, o[edges[b] : edges[b + 1]]
+def chosen(logits: np.ndarray, own: np.ndarray, axis: int) -> np.ndarray:
+    """Natural log of the softmax along an axis, at `own` of each."""
+    n, each = len(own), np.arange(len(own))
+    out = np.minimum(logits.ravel()[own * n + each if axis == 0 else each * logits.shape[1] + own], np.float32(60))
+    return out - np.log(total(powered(logits), axis))
+
+
+class Grouped:
+    """Rows of z, with a one beside each, by the branch of their class. Each branch is filled up to groups of rows, so that a few calls multiply all
+    rows by their branch's matrix; classes from CLASSES on count as of the last branch."""
+
+    def __init__(self, w: dict[str, np.ndarray], z: np.ndarray, classes: np.ndarray, group: int):
+        n = len(classes)
+        of = np.minimum(classes // BRANCHES, BRANCHES - 1).astype(np.uint8)
+        order = np.argsort(of, kind="stable")
+        count = np.bincount(of, minlength=BRANCHES)
+        groups = -(-count // group)
+        self.branch = np.repeat(np.arange(BRANCHES), groups)
+        self.shape, self.slot = (len(self.branch), group), np.empty(n, np.int64)  # of each row
+        self.slot[order] = np.arange(n) + np.repeat(group * (np.cumsum(groups) - groups) - (np.cumsum(count) - count), count)
+        self.within = classes % BRANCHES
+        own = np.zeros(group * len(self.branch), np.int64)
+        own[self.slot] = np.arange(n)
+        one = np.ones((n, WIDTH + 1), np.float32)
+        one[:, :WIDTH] = z
+        self.rows = one.take(own, axis=0).reshape(*self.shape, WIDTH + 1)
+        self.table = np.concatenate([w["out"], w["bias"][:, None]], 1)
+
+    def logits(self) -> np.ndarray:
+        """A row for each slot."""
+        return (self.rows @ self.table.take(self.branch, axis=0)).reshape(-1, BRANCHES)
+
+    def slopes(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of out, of bias and of the rows of z, from that of the logits."""
+        d, of = d.reshape(*self.shape, BRANCHES), np.zeros((BRANCHES, self.shape[0]), np.float32)
+        of[self.branch, np.arange(len(self.branch))] = 1
+        g = (of @ (self.rows.transpose(0, 2, 1) @ d).reshape(self.shape[0], (WIDTH + 1) * BRANCHES)).reshape(self.table.shape)
+        back = np.ascontiguousarray(self.table[:, :WIDTH].transpose(0, 2, 1)).take(self.branch, axis=0)
+        return g[:, :WIDTH], g[:, WIDTH], (d @ back).reshape(-1, WIDTH).take(self.slot, axis=0)
 
 
 def class_log(w: dict[str, np.ndarray], z: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each row's class."""
-    out = chosen(z @ w["top"] + w["top_bias"], classes // BRANCHES)
-    for b, rows in branches(classes):
-        out[rows] += chosen(z.take(rows, axis=0) @ w["out"][b] + w["bias"][b], classes[rows] % BRANCHES)
-    return out
+    top = w["top"].T @ z.T
+    top += w["top_bias"].T
+    own = Grouped(w, z, classes, 2 * GROUP)
+    within = np.zeros(own.shape[0] * own.shape[1], np.int64)
+    within[own.slot] = own.within
+    return chosen(top, classes // BRANCHES, 0) + chosen(own.logits(), within, 1)[own.slot]
 
 
 def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the places of windows whose target y is a class."""
     z, cache = forward(w, x)
-    at = np.flatnonzero(y.ravel() < CLASSES)
-    classes = y.ravel()[at]
-    o = np.argsort((classes // BRANCHES).astype(np.int16), kind="stable")
-    at, classes = at[o], classes[o]
-    edges = np.searchsorted(classes // BRANCHES, np.arange(BRANCHES + 1))
-    own, scale = z.reshape(-1, WIDTH).take(at, axis=0), np.float32(1 / max(1, len(at)))
-    g = {"out": np.zeros_like(w["out"]), "bias": np.zeros_like(w["bias"])}
-    d = softmax(own @ w["top"] + w["top_bias"])
-    d[np.arange(len(d)), classes // BRANCHES] -= 1
-    d *= scale
-    g["top"], g["top_bias"], dz = own.T @ d, d.sum(0, keepdims=True), d @ w["top"].T
-    logits = np.empty((len(at), BRANCHES), np.float32)
-    spans = [(b, lo, hi) for b, lo, hi in zip(range(BRANCHES), edges[:-1].tolist(), edges[1:].tolist(), strict=True) if lo < hi]
-    for b, lo, hi in spans:
-        np.matmul(own[lo:hi], w["out"][b], out=logits[lo:hi])
-        logits[lo:hi] += w["bias"][b]
-    d = softmax(logits)
-    d[np.arange(len(d)), classes % BRANCHES] -= 1
-    d *= scale
-    for b, lo, hi in spans:
-        g["out"][b], g["bias"][b] = own[lo:hi].T @ d[lo:hi], d[lo:hi].sum(0)
-        dz[lo:hi] += d[lo:hi] @ w["out"][b].T
-    full = np.zeros_like(z)
-    full.reshape(-1, WIDTH)[at] = dz
-    return g | backward(w, cache, full)
+    z, y = z.reshape(-1, WIDTH), y.ravel()
+    scale = (y < CLASSES).astype(np.float32)
+    scale /= max(1, np.count_nonzero(scale))
+    d = w["top"].T @ z.T
+    d += w["top_bias"].T
+    softmax(d, scale, 0)
+    d.ravel()[np.minimum(y // BRANCHES, BRANCHES - 1) * len(y) + np.arange(len(y))] -= scale
+    g = {"top": z.T @ d.T, "top_bias": (d @ np.ones(len(y), np.float32))[None]}
+    dz = d.T @ w["top"].T
+    own = Grouped(w, z, y, GROUP)
+    d = own.logits()
+    slots = np.zeros(len(d), np.float32)
+    slots[own.slot] = scale
+    softmax(d, slots, 1)
+    d.ravel()[own.slot * BRANCHES + own.within] -= scale
+    g["out"], g["bias"], rest = own.slopes(d)
+    dz += rest
+    return g | backward(w, cache, dz)
 
 
 def train(w: dict[str, np.ndarray], x: np.ndarray, steps: int, batch: int = 16, rate: float = 0.01, seed: int = 11) -> dict[str, np.ndarray]:
@@ -192,19 +266,30 @@ def train(w: dict[str, np.ndarray], x: np.ndarray, steps: int, batch: int = 16,
     if not len(x):
         return w
     r = np.random.default_rng(seed)
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    # All weights end to end: one step is a few passes over them, not over each kind.
+    own = flat(w)
+    w = parts(own)
+    m, s, grown = np.zeros_like(own), np.zeros_like(own), np.empty_like(own)
     order, at = r.permutation(len(x)), 0
     for t in range(1, steps + 1):
         if at >= len(x):
             order, at = r.permutation(len(x)), 0
-        own = x[order[at : at + batch]]
+        rows = x[order[at : at + batch]].astype(np.int64)
         at += batch
-        g = gradient(w, own[:, :-1], own[:, 1:])
+        g = flat(gradient(w, rows[:, :-1], rows[:, 1:]))
         now = rate * min(1, t / 20) * (1 - 0.95 * t / steps)
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-            w[k] = (w[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        # m and s are 10 and 100 times the moments.
+        m *= 0.9
+        m += g
+        g *= g
+        s *= 0.99
+        s += g
+        np.multiply(s, 0.01 / (1 - 0.99**t), out=grown)
+        np.sqrt(grown, out=grown)
+        grown += 1e-8
+        np.divide(m, grown, out=grown)
+        grown *= 0.1 * now / (1 - 0.9**t)
+        own -= grown
     return w
 
 
@@ -227,7 +312,7 @@ def biased(w: dict[str, np.ndarray], class_of: np.ndarray, counts: np.ndarray) -
     return w
 
 
-def score(model: Model, ids: np.ndarray, edges: np.ndarray, at_once: int = 8) -> np.ndarray:
+def score(model: Model, ids: np.ndarray, edges: np.ndarray, at_once: int = 16) -> np.ndarray:
     """log10 probability of each id, given the ids before it in its sequence; edges bound the sequences."""
     out = model.share[ids]
     classes = model.class_of[ids]
@@ -249,7 +334,7 @@ def score(model: Model, ids: np.ndarray, edges: np.ndarray, at_once: int = 8) ->
             z, _ = forward(w, x, kind)
             states.append(z[here[:, kind:]])
             target.append(at[:, kind:][here[:, kind:]])
-            if sum(map(len, target)) > 65_536:
+            if sum(map(len, target)) > SETTLED:
                 _settle(w, states, target, classes, out)
                 states, target = [], []
     if target:
@@ -320,15 +405,17 @@ def _windows(path: str, class_of: np.ndarray):
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in sorted(w)])
+    return np.concatenate([w[k].ravel() for k in SHAPES])
+
+
+def parts(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of the weights of each kind."""
+    edges = np.cumsum([0, *(int(np.prod(shape)) for shape in SHAPES.values())]).tolist()
+    return {k: values[a:b].reshape(shape) for (k, shape), a, b in zip(SHAPES.items(), edges[:-1], edges[1:], strict=True)}
 
 
 def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, v in sorted(initial().items()):
-        out[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
-        at += v.size
-    return out
+    return parts(values.astype(np.float32))
 
 
 def _apart(weights: np.ndarray):
@@ -336,6 +423,7 @@ def _apart(weights: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, n, held = shaped(weights), 0, []
+        steady()
 
         def learn() -> None:
             nonlocal w, n, held
@@ -343,7 +431,7 @@ def _apart(weights: np.ndarray):
             w, n, held = train(w, x, -(-len(x) // TAUGHT), TAUGHT, rate=0.002), n + len(x), []
 
         for batch in batches:
-            held.append(np.frombuffer(b"".join(batch["x"].to_pylist()), np.uint16).astype(np.int64).reshape(-1, LENGTH + 1))
+            held.append(np.frombuffer(b"".join(batch["x"].to_pylist()), np.uint16).reshape(-1, LENGTH + 1))
             if sum(map(len, held)) >= START:
                 learn()
         if held and sum(map(len, held)):
@@ -434,6 +522,7 @@ def _scored(model: Model, path: str, below: float):
     weights = GRID if model.mix is None else (model.mix,)
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        steady()
         token = counts["token"].to_numpy().view(np.uint64)
         o = np.argsort(token)
         c = counts["c"].to_numpy()[o]
@@ -487,7 +576,7 @@ def learn(docs: DataFrame, counts: DataFrame, ids: np.ndarray, below: float, pat
     x = [r["x"] for r in rows.orderBy(F.xxhash64("h"), "x").limit(START).select("x").collect()]
     discard(sample)
     if x:
-        x = np.frombuffer(b"".join(x), np.uint16).astype(np.int64).reshape(-1, LENGTH + 1)
+        x = np.frombuffer(b"".join(x), np.uint16).reshape(-1, LENGTH + 1)
         model.weights = train(model.weights, x, max(200, min(2400, len(x) // 4)))
         if part < 1 or n > len(x):
             model.weights = shaped(averaged(found(training(docs)), flat(model.weights)))

@@ -311,6 +311,44 @@ def test_training_lowers_the_loss_and_averages():
     assert np.allclose(np.frombuffer(got["w"][0].as_py(), np.float64) / got["n"][0].as_py(), 1.75 * w, rtol=1e-5)
 
 
+def test_attention_meets_no_keys_beyond_a_block_of_places():
+    """Attention of 128 places holds at most two thirds of their pairs, and its states are those of the plain form, whatever the places left out."""
+    rng = np.random.default_rng(15)
+    w = initial()
+    for size in (1, 31, 32, 33, 100, LENGTH):
+        x = rng.integers(0, CLASSES + 1, (3, size))
+        z, cache = forward(w, x)
+        before = np.concatenate([np.full((3, 1), CLASSES), x[:, :-1]], 1)
+        e = w["emb"][x] + w["prev"][before] + w["pos"][:size]
+        p = np.exp((e @ w["q"]) @ (e @ w["k"]).transpose(0, 2, 1) / np.sqrt(language_model.WIDTH)) * np.tri(size)
+        y = e + (p / p.sum(-1, keepdims=True)) @ (e @ w["v"]) @ w["o"]
+        want = y + np.maximum(y @ w["a"], 0) @ w["b"]
+        assert np.abs(z - want).max() < 1e-4
+        for skip in (16, 40):
+            assert skip >= size or np.abs(forward(w, x, skip)[0] - want[:, skip:]).max() < 1e-4
+        held = [p.size for kept in cache if isinstance(kept, list) for p in kept]
+        assert held and (size < LENGTH or sum(held) < 2 / 3 * 3 * LENGTH * LENGTH)
+
+
+def test_training_is_adam_of_each_kind_of_weights():
+    rng = np.random.default_rng(16)
+    x = rng.integers(0, CLASSES + 1, (12, LENGTH + 1))
+    got = language_model.train(initial(), x, 5, 4, rate=0.002)
+    w, r = initial(), np.random.default_rng(11)
+    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    order, at = r.permutation(12), 0
+    for t in range(1, 6):
+        if at >= 12:
+            order, at = r.permutation(12), 0
+        own = x[order[at : at + 4]]
+        at += 4
+        g = language_model.gradient(w, own[:, :-1], own[:, 1:])
+        for k in w:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            w[k] = w[k] - 0.002 * t / 20 * (1 - 0.95 * t / 5) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+    assert all(got[k].dtype == np.float32 and np.abs(got[k] - w[k]).max() < 2e-5 for k in w)
+
+
 def test_score_mixes_words_that_attention_spells(spark, monkeypatch):
     """The whole score against brute force: every word by its ids and by its share, none for words that no training document holds."""
     rng = np.random.default_rng(8)
